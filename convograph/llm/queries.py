@@ -4,6 +4,8 @@ from __future__ import annotations
 from ..sources import table
 from .conversations import rebuild_conversations
 from .groups import group_matches
+from .lookalikes import BLANK, same_form
+from .uniform import same_looking
 
 
 def p1_found(spark, folder):
@@ -14,7 +16,12 @@ def p6_found(spark, folder):
     return group_matches(table(spark, folder, "merge_candidates"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found}
+def p5_found(spark, folder):
+    return same_looking(table(spark, folder, "messages"), "id", "text", "message").unionByName(
+        same_looking(table(spark, folder, "memory_nodes"), "id", "name", "node"))
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found}
 
 P1_SQL = r"""
 with recursive r as (
@@ -49,4 +56,14 @@ c as (select u as node_id, u as other from s union select c.node_id, s.v from c
 select node_id, min(other) as group_id from c group by node_id
 """
 
-SQL = {"p1_found": P1_SQL, "p6_found": P6_SQL}
+P5_SQL = f"""
+with m as (
+  select 'message' as src, chat_id, cast(id as varchar) as k, text as stored, {same_form('text')} as form from messages
+  union
+  select 'node', chat_id, id, name, {same_form('name')} from memory_nodes)
+select distinct a.src, a.k as a_key, b.k as b_key
+from m a join m b on a.src = b.src and a.chat_id = b.chat_id and a.form = b.form and a.stored <> b.stored and a.k < b.k
+where not regexp_full_match(a.form, '{BLANK}')
+"""
+
+SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
