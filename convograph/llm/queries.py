@@ -4,7 +4,9 @@ from __future__ import annotations
 from ..sources import table
 from .conversations import rebuild_conversations
 from .groups import group_matches
+from .languages import fit_languages, label_segments
 from .lookalikes import BLANK, same_form
+from .pii import find_pii, learned_given, redact, texts_of
 from .uniform import same_looking
 
 
@@ -16,12 +18,31 @@ def p6_found(spark, folder):
     return group_matches(table(spark, folder, "merge_candidates"))
 
 
+def p3_occurrences(spark, folder):
+    texts = texts_of(table(spark, folder, "messages"), table(spark, folder, "memory_edges"))
+    return texts, find_pii(texts, learned_given(table(spark, folder, "memory_nodes")))
+
+
+def p3_found(spark, folder):
+    return p3_occurrences(spark, folder)[1].select("src", "row_no", "start_pos", "pii_type")
+
+
+def p3_redacted(spark, folder):
+    """Every message and edge text with typed placeholders."""
+    return redact(*p3_occurrences(spark, folder))
+
+
+def p4_found(spark, folder):
+    texts = texts_of(table(spark, folder, "messages"), table(spark, folder, "memory_edges"), "lang")
+    return label_segments(texts, fit_languages(texts), only_wrong=True).select("src", "row_no", "seg_no", "seg_lang")
+
+
 def p5_found(spark, folder):
     return same_looking(table(spark, folder, "messages"), "id", "text", "message").unionByName(
         same_looking(table(spark, folder, "memory_nodes"), "id", "name", "node"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 
 P1_SQL = r"""
 with recursive r as (
