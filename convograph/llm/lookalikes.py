@@ -60,13 +60,50 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _class(chars: str) -> str:
+    """Regular-expression class of the characters, runs as ranges."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "[" + "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{b:X}}}" if b > a else "") for a, b in out) + "]"
+
+
+def _by_block(table: dict[str, str]) -> list[dict[str, str]]:
+    """The table in parts of one kind, as translate costs each text the size of its table."""
+    parts: dict[int, dict[str, str]] = {}
+    for ch, to in table.items():
+        p = ord(ch)
+        if p >= 0xFF00:
+            block = 1 if p < 0xFF61 and not to.isalnum() else 2 if p < 0xFF61 else 3
+        else:
+            block = 4 if p < 0x370 else 5 if p < 0x400 else 6 if p < 0x530 else 7 if 0x2000 <= p <= 0x3000 and to == " " else 8
+        parts.setdefault(block, {})[ch] = to
+    return [parts[k] for k in sorted(parts)]
+
+
 def same_form(text: str) -> str:
-    """DuckDB expression for the consistent form of the SQL expression ``text``."""
+    """DuckDB expression for the consistent form of the SQL expression ``text``.
+
+    Texts of plain ASCII pass by; each table is only asked for texts that hold one of its characters."""
     one, several, alike = tables()
-    swap = lambda x, t: f"translate({x}, {_quoted(''.join(t))}, {_quoted(''.join(t.values()))})"
-    x = f"regexp_replace(replace({text}, chr(13) || chr(10), chr(10)), '{INVISIBLE}', '', 'g')"
-    x = swap(x, one)
-    spelled = x
-    for ch, to in several.items():
-        spelled = f"replace({spelled}, {_quoted(ch)}, {_quoted(to)})"
-    return f"nfc_normalize({swap(f'nfc_normalize({spelled})', alike)})"
+    steps = [lambda x: f"regexp_replace(replace({x}, chr(13) || chr(10), chr(10)), '{INVISIBLE}', '', 'g')"]
+    guard = lambda chars, make: lambda x: f"(case when regexp_matches({x}, '{_class(chars)}') then {make(x)} else {x} end)"
+    swap = lambda t: lambda x: f"translate({x}, {_quoted(''.join(t))}, {_quoted(''.join(t.values()))})"
+
+    def spell(x: str) -> str:
+        for ch, to in several.items():
+            x = f"replace({x}, {_quoted(ch)}, {_quoted(to)})"
+        return x
+
+    steps += [guard("".join(several), spell), *(guard("".join(t), swap(t)) for t in _by_block(one)), lambda x: f"nfc_normalize({x})"]
+    steps += [*(guard("".join(t), swap(t)) for t in _by_block(alike)), lambda x: f"nfc_normalize({x})"]
+    # each step is a lambda of one list element, so that its input is computed once
+    value = "x"
+    chain = f"[{text}]"
+    for step in steps:
+        chain = f"list_transform({chain}, lambda x: {step(value)})"
+    heavy = f"({chain})[1]"
+    return f"(case when regexp_matches({text}, '[^\\x{{09}}\\x{{0A}}\\x{{20}}-\\x{{7E}}]') then {heavy} else {text} end)"

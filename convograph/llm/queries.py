@@ -1,12 +1,16 @@
 """The queries of this package and their SQL."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources import table
 from .conversations import rebuild_conversations
 from .groups import group_matches
 from .languages import fit_languages, label_segments
 from .lookalikes import BLANK, same_form
+from .names import link_names, same_entity_pairs
 from .pii import find_pii, learned_given, redact, texts_of
+from .subjects import assign_subjects
 from .uniform import same_looking
 
 
@@ -18,6 +22,10 @@ def p6_found(spark, folder):
     return group_matches(table(spark, folder, "merge_candidates"))
 
 
+def p2_found(spark, folder):
+    return same_entity_pairs(link_names(*(table(spark, folder, t) for t in ("messages", "memory_nodes", "merge_candidates"))))
+
+
 def p3_occurrences(spark, folder):
     texts = texts_of(table(spark, folder, "messages"), table(spark, folder, "memory_edges"))
     return texts, find_pii(texts, learned_given(table(spark, folder, "memory_nodes")))
@@ -42,7 +50,27 @@ def p5_found(spark, folder):
         same_looking(table(spark, folder, "memory_nodes"), "id", "name", "node"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+def p10_shares(spark, folder):
+    """The subjects of each document with their share of its sentences."""
+    return assign_subjects(*(table(spark, folder, t) for t in ("documents", "subject_areas", "subject_labels")))
+
+
+def p10_found(spark, folder):
+    return p10_shares(spark, folder).select("doc_id", "subject")
+
+
+def p10_composition(spark, folder):
+    """The make-up of the corpus: documents and characters by subject, none included."""
+    docs = table(spark, folder, "documents")
+    return (
+        docs.select("doc_id", "n_chars").join(p10_found(spark, folder), "doc_id", "left")
+        .groupBy(F.coalesce("subject", F.lit("none")).alias("subject"))
+        .agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("n_chars"))
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found,
+           "p10_found": p10_found, "p10_composition": p10_composition}
 
 P1_SQL = r"""
 with recursive r as (
