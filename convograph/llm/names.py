@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..lineage import Cuts
 from .conversations import unseen
 from .given_names import PARTICLES, TITLES, plain, short_forms
+from .groups import group_matches
 from .pii import learned_given, plain_letters
 
 # Legal forms and articles, which do not tell organisations apart.
@@ -50,7 +51,7 @@ class Reader:
         self.short = short_forms()
         self.by_length: dict[int, list[str]] = {}
         for g in given:
-            if len(g) > 3:
+            if len(g) > 2:
                 self.by_length.setdefault(len(g), []).append(g)
         self.near = lru_cache(200_000)(self._near)
 
@@ -58,16 +59,29 @@ class Reader:
         """The given name that a word misspells, if it is close to one."""
         if word in self.given:
             return word
+        if len(word) < 3:
+            return None
         most = 1 if len(word) < 8 else 2
         best = None
         for n in range(len(word) - most, len(word) + most + 1):
             for g in self.by_length.get(n, ()):
                 if g[0] == word[0] or g[1:3] == word[1:3] or sorted(g[:2]) == sorted(word[:2]):
                     d = edits(word, g, most)
-                    if d <= most and len(g) >= 5 and (best is None or (d, g) < best):
+                    # of a short name only a doubled or swapped letter is taken for a slip
+                    slip = len(g) >= 5 or sorted(g) == sorted(word) or re.sub(r"(.)\1", r"\1", word) == g
+                    if d <= most and slip and (best is None or (d, g) < best):
                         best = (d, g)
         return best[1] if best else None
 
+    def standard(self, given: str) -> str:
+        """A given name without what is only another way to write it: umlauts in two letters, a doubled letter."""
+        if given in self.short:
+            return given
+        for other in (given.replace("oe", "o").replace("ue", "u").replace("ae", "a"), re.sub(r"(.)\1+", r"\1", given)):
+            if other != given and (other in self.given or other in self.short):
+                return other
+        return given
+
     def person(self, name: str) -> tuple[str, str, str]:
         """(family, full given names that may be meant, initials), each in plain letters."""
         t = re.split(r"[|(\[]", plain_letters(name).text)[0] or name
@@ -92,7 +106,7 @@ class Reader:
             at = len(words) - 1 if "," in low else 0
         who: set[str] = set()
         if at is not None:
-            known = self.near(words[at]) or words[at]
+            known = self.standard(self.near(words[at]) or words[at])
             who = set(self.short.get(known, (known,)))
             words = words[:at] + words[at + 1:]
             letters = []
@@ -188,7 +202,7 @@ def read_names(named: DataFrame, given: frozenset[str]) -> DataFrame:
     return named.select("chat_id", "ref", "kind", "name").mapInArrow(run, NAMED).where("spelling not in ('', '||')").distinct()
 
 
-def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.3, block: int = 2000) -> DataFrame:
+def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.25, block: int = 2000) -> DataFrame:
     """(chat_id, kind, a, b): pairs of spellings of one chat whose n-gram vectors have a cosine of at least ``least``.
 
     Vectors weigh n-grams by rarity. As in an all-pairs join with prefixes, a vector is only looked up by its rarest n-grams,
@@ -209,7 +223,7 @@ def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.3, bloc
                  .select(*key, F.explode("grams").alias("gram")))
     df = g.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("df"))
     n = spellings.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    weight = F.log(1 + F.col("n") / F.col("df"))
+    weight = F.sqrt(F.log(1 + F.col("n") / F.col("df")))  # damped, as a slip makes rare n-grams
     own = Window.partitionBy(*key)
     running = own.orderBy(F.desc("w"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w = (
@@ -284,14 +298,21 @@ def link_names(messages: DataFrame, nodes: DataFrame, candidates: DataFrame, lea
     spellings = named.select("chat_id", "kind", "spelling").distinct()
     scored = likeness(similar_spellings(spellings, cuts))
     ident = lambda c: F.concat_ws("\u0001", "chat_id", "kind", c)
-    # a record's further spellings hang on its first
+    # spellings that share a record are one item, however they differ
     first = named.groupBy("chat_id", "ref", "kind").agg(F.min("spelling").alias("a"))
-    same = named.join(first, ["chat_id", "ref", "kind"]).where("a <> spelling").select(ident("a").alias("a"), ident("spelling").alias("b"), F.lit(1.0).alias("s")).distinct()
-    links = scored.select(ident("a").alias("a"), ident("b").alias("b"), "s").unionByName(same)
+    same = named.join(first, ["chat_id", "ref", "kind"]).where("a <> spelling").select(
+        ident("a").alias("a_id"), ident("spelling").alias("b_id"), F.lit(1.0).alias("score")).distinct()
+    item = cuts.cut(group_matches(same))
+    of = lambda x: item.select(F.col("node_id").alias(x), F.col("group_id").alias(f"item_{x}"))
+    links = (
+        scored.select(ident("a").alias("a"), ident("b").alias("b"), "s").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        .select(F.coalesce("item_a", "a").alias("x"), F.coalesce("item_b", "b").alias("y"), "s").where("x <> y")
+        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("s").alias("s"))
+    )
     cluster = average_linkage(cuts.cut(links), least, cuts)
     return (
-        named.withColumn("member", ident("spelling")).join(cluster, "member", "left")
-        .groupBy("chat_id", "ref").agg(F.min(F.coalesce("cluster", "member")).alias("entity"))
+        named.withColumn("spelt", ident("spelling")).join(of("spelt"), "spelt", "left").withColumn("member", F.coalesce("item_spelt", "spelt"))
+        .join(cluster, "member", "left").groupBy("chat_id", "ref").agg(F.min(F.coalesce("cluster", "member")).alias("entity"))
     )
 
 

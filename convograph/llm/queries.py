@@ -8,7 +8,9 @@ from .conversations import rebuild_conversations
 from .groups import group_matches
 from .languages import fit_languages, label_segments
 from .lookalikes import BLANK, same_form
+from .mixing import mix, share_report
 from .names import link_names, same_entity_pairs
+from .packing import fill_report, pack
 from .pii import find_pii, learned_given, redact, texts_of
 from .subjects import assign_subjects
 from .uniform import same_looking
@@ -50,6 +52,22 @@ def p5_found(spark, folder):
         same_looking(table(spark, folder, "memory_nodes"), "id", "name", "node"))
 
 
+def p8_packed(spark, folder):
+    return pack(table(spark, folder, "documents"))
+
+
+def p8_report(spark, folder):
+    return fill_report(p8_packed(spark, folder))
+
+
+def p9_mixed(spark, folder):
+    return mix(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
+
+
+def p9_shares(spark, folder):
+    return share_report(p9_mixed(spark, folder), table(spark, folder, "source_targets"))
+
+
 def p10_shares(spark, folder):
     """The subjects of each document with their share of its sentences."""
     return assign_subjects(*(table(spark, folder, t) for t in ("documents", "subject_areas", "subject_labels")))
@@ -70,7 +88,7 @@ def p10_composition(spark, folder):
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found,
-           "p10_found": p10_found, "p10_composition": p10_composition}
+           "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
 
 P1_SQL = r"""
 with recursive r as (
