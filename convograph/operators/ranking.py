@@ -68,3 +68,28 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], lea
         .withColumn(out, F.col(out) + F.col("__before"))
         .drop(SLICE, f"__b_{SLICE}", "__before", *[f"__b_{k}" for k in keys])
     )
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], lead: str, amount: Column, out: str,
+                hot_rows: int = 500_000) -> DataFrame:
+    """``out`` is the sum of ``amount`` over a row's group from its first row to this one, in ``order``, which starts
+    with the numeric column ``lead`` ascending and is total. Hot groups are summed slice by slice as in
+    ``number_rows``."""
+    sliced, hot = slice_hot(df, keys, lead, hot_rows)
+    w = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not hot:
+        return sliced.withColumn(out, F.sum(amount).over(w)).drop(SLICE)
+    before = running_before(sliced, keys, amount, "__before")
+    return (
+        sliced.withColumn(out, F.sum(amount).over(w)).join(before, on_keys([*keys, SLICE]))
+        .withColumn(out, F.col(out) + F.col("__before"))
+        .drop(SLICE, f"__b_{SLICE}", "__before", *[f"__b_{k}" for k in keys])
+    )
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], lead: str, columns: Sequence[str], hot_rows: int = 500_000) -> DataFrame:
+    """Adds ``previous``, a struct of ``columns`` of the row before in its group (null for the first), in a total
+    ``order`` that starts with the numeric column ``lead``. Rows meet their neighbour by number, so no task holds a hot group."""
+    n = number_rows(df, keys, order, lead, "__at", hot_rows)
+    before = n.select(*[F.col(k).alias(f"__b_{k}") for k in keys], (F.col("__at") + 1).alias("__b___at"), F.struct(*columns).alias("previous"))
+    return n.join(before, on_keys([*keys, "__at"]), "left").drop("__at", "__b___at", *[f"__b_{k}" for k in keys])
