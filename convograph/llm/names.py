@@ -206,8 +206,9 @@ def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.25, blo
     """(chat_id, kind, a, b): pairs of spellings of one chat whose n-gram vectors have a cosine of at least ``least``.
 
     Vectors weigh n-grams by rarity. As in an all-pairs join with prefixes, a vector is only looked up by its rarest n-grams,
-    until what remains cannot reach ``least`` alone; what the looked-up n-grams add up to and the rest's greatest possible
-    contribution then bound the cosine from above. There is no cap on partners. Where an n-gram occurs more than
+    until what remains has a length of ``least / 2`` at most. All n-grams are ranked alike, so of two vectors the shorter prefix has every
+    shared n-gram that is rare enough, and the others add no more than the length of what remains of it: this bounds the cosine from
+    above, and no similar pair is lost. There is no cap on partners. Where an n-gram occurs more than
     ``block`` times in a chat, its pairs are made block by block in different tasks."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -230,7 +231,7 @@ def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.25, blo
         g.join(df, ["kind", "gram"]).join(F.broadcast(n), "kind").withColumn("w", weight)
         .withColumn("norm2", F.sum(F.col("w") * F.col("w")).over(own)).withColumn("run2", F.sum(F.col("w") * F.col("w")).over(running))
         .withColumn("rest2", F.greatest(F.lit(0.0), 1 - F.col("run2") / F.col("norm2"))).withColumn("w", F.col("w") / F.sqrt("norm2"))
-        .where(F.col("rest2") + F.col("w") * F.col("w") > least * least)
+        .where(F.col("rest2") + F.col("w") * F.col("w") > least * least / 4)
         .withColumn("rest", F.sqrt(F.min("rest2").over(own)))
     )
     w = cuts.cut(w.select(*key, "gram", "w", "rest"))
@@ -243,7 +244,7 @@ def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.25, blo
     return (
         a.join(b, ["chat_id", "kind", "gram", "block"]).where("a < b").groupBy("chat_id", "kind", "a", "b")
         .agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
-        .where(F.col("dot") + F.col("ra") * F.col("rb") >= least).select("chat_id", "kind", "a", "b")
+        .where(F.col("dot") + F.greatest("ra", "rb") >= least).select("chat_id", "kind", "a", "b")
     )
 
 

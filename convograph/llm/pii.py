@@ -40,26 +40,32 @@ HIDDEN_DOT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*|(?
 
 
 class Plain:
-    """A plain text, and for each of its characters the offset it came from (None: the same)."""
+    """A plain text, and for each of its characters where what it stands for begins and ends in the source (None: the same place)."""
 
-    __slots__ = ("text", "at")
+    __slots__ = ("text", "begin", "end")
 
-    def __init__(self, text: str, at: list[int] | None = None):
-        self.text, self.at = text, at
+    def __init__(self, text: str, begin: list[int] | None = None, end: list[int] | None = None):
+        self.text, self.begin, self.end = text, begin, end
 
     def source(self, i: int) -> int:
-        return i if self.at is None else self.at[i]
+        return i if self.begin is None else self.begin[i]
+
+    def source_end(self, i: int) -> int:
+        """Where the source of the characters before offset ``i`` ends."""
+        return i if self.end is None else self.end[i - 1]
 
     def replaced(self, spans: list[tuple[int, int, str]]) -> Plain:
-        """The transducer step: each span becomes a string, whose characters come from its start."""
-        at = self.at or list(range(len(self.text)))
-        text, origin, last = [], [], 0
-        for start, end, to in spans:
-            text += [self.text[last:start], to]
-            origin += at[last:start] + [at[start]] * len(to)
-            last = end
+        """The transducer step: each span becomes a string, all of whose characters stand for the whole span."""
+        begin = self.begin or list(range(len(self.text)))
+        end = self.end or list(range(1, len(self.text) + 1))
+        text, b, e, last = [], [], [], 0
+        for x, y, to in spans:
+            text += [self.text[last:x], to]
+            b += begin[last:x] + [begin[x]] * len(to)
+            e += end[last:x] + [end[y - 1]] * len(to)
+            last = y
         text.append(self.text[last:])
-        return Plain("".join(text), origin + at[last:])
+        return Plain("".join(text), b + begin[last:], e + end[last:])
 
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -150,6 +156,7 @@ HAS_NUMBER = re.compile(r"\d(?:[^\d\n]{0,3}\d){5}")
 # Kinds of streets, where a lower-case word is telling and where it needs a capital.
 STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Crescent|Cres|Boulevard|Blvd|Terrace|Drive|Court|Square|Mews|Parkway|Highway|Hwy"
 STREETS_CAPITAL = "Way|Place|Pl|Row|Gardens|Hill|Dr|Ct|Sq"
+FULL_KINDS = frozenset("Street Road Avenue Lane Close Crescent Boulevard Terrace Drive Court Square Mews Parkway Highway Way Place Row Gardens Hill".split())
 # Words that may follow an address directly; another word makes the street part of a name.
 AFTER_ADDRESS = set("""
 with by around near at in on from for to before after until since and or but is was are were tomorrow today yesterday tonight now then
@@ -200,12 +207,13 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         lower = kind.islower()
         if lower and kind.capitalize() in STREETS_CAPITAL.split("|") or not lower and words[-1].islower():
             continue
-        after = re.compile(rf" ({_w})").match(text, m.end())
+        ended = m[0].endswith(".") and kind.capitalize() in FULL_KINDS  # by a sentence's point
+        after = None if ended else re.compile(rf" ({_w})").match(text, m.end())
         if after and after[1].lower() not in AFTER_ADDRESS and re.match(r"[A-Za-zÀ-ÿ]", after[1]):
             # a capital begins a sentence after an abbreviated kind with its point
             if not (m[0].endswith(".") and after[1][:1].isupper()):
                 continue
-        yield m.start(), m.end()
+        yield m.start(), m.end() - ended
     for p in (FRENCH, ROMANCE, GERMAN, RUSSIAN, CJK):
         for m in p.finditer(text):
             yield m.start(), m.end()
@@ -274,7 +282,7 @@ def find(text: str, given: frozenset[str]) -> list[tuple[int, int, str, str, str
         for a, b in spans or ((m.start(), m.end()) for m in pattern.finditer(t)):
             if (not least or least <= sum(c.isdigit() for c in t[a:b]) <= 16) and not any(x < b and a < y for x, y in taken):
                 taken.append((a, b))
-                out.append((p.source(a), p.source(b - 1) + 1, kind, "", ""))
+                out.append((p.source(a), p.source_end(b), kind, "", ""))
 
     if "@" in t:
         take(EMAIL, "email")
@@ -286,7 +294,7 @@ def find(text: str, given: frozenset[str]) -> list[tuple[int, int, str, str, str
             take(ENGLISH, "address", 0, addresses(t))
     if any(map(given.__contains__, map(_plain, words))):
         for a, b, w, s in names(t, given, taken):
-            out.append((p.source(a), p.source(b - 1) + 1 if b > 0 else -1, "name", w, s))
+            out.append((p.source(a), p.source_end(b) if b > 0 else -1, "name", w, s))
     return out
 
 
