@@ -87,13 +87,14 @@ def _packer(capacity: int, level: int, last: bool):
     return run
 
 
-def pack(documents: DataFrame, capacity: int = 2048, shard_items: int = 2000, path: str = RANKS) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = 2048, shard_items: int = 2000, deals: int = 4, path: str = RANKS) -> DataFrame:
     """(doc_id, piece_no, first_token, n_tokens, container): every token of every text in a container of ``capacity``.
 
     A text longer than a container is cut into full pieces, each its own container, and a rest; no other text is split. Items
     are dealt to shards of about ``shard_items`` by a hash, each packed by one task: best fit, then local search over the bins
-    with room. The items of bins that stay under 98 % full are dealt again to fewer shards, until they fit one shard, so
-    at most one shard's worth of bins is left with room however large the input. Texts without tokens take
+    with room. The items of bins that stay under 98 % full are dealt again with others' to as many shards as they need, ``deals``
+    times at most; the last time, or when they fit one shard, every bin stays as it is. A shard never grows beyond its size, so a
+    task holds a bounded number of items, and only bins that local search cannot fill in several mixtures keep room. Texts without tokens take
     no container; equal doc_ids stay items of their own only if the rows differ in size."""
     cuts = Cuts(documents.sparkSession, "packing")
     sized = cuts.cut(count_tokens(documents.where("doc_id is not null and text is not null"), "text", "n", "doc_id", path=path).where("n > 0"))
@@ -107,10 +108,10 @@ def pack(documents: DataFrame, capacity: int = 2048, shard_items: int = 2000, pa
         shards = max(1, round(n / shard_items))
         dealt = rest.select("*", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(level)), F.lit(shards)).alias("shard"))
         packed = cuts.cut(dealt.groupBy("shard").applyInPandas(
-            _packer(capacity, level, shards == 1), ITEM + ", container string, ready boolean"))
+            _packer(capacity, level, shards == 1 or level == deals - 1), ITEM + ", container string, ready boolean"))
         filled.append(packed.where("ready").drop("ready"))
         rest = packed.where("not ready").select("doc_id", "piece_no", "n_tokens")
-        n, level = (rest.count() if shards > 1 else 0), level + 1
+        n, level = (rest.count() if shards > 1 and level < deals - 1 else 0), level + 1
     out = filled[0]
     for f in filled[1:]:
         out = out.unionByName(f)

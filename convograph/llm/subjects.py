@@ -34,16 +34,26 @@ TOKEN = re.compile(r"\S+")
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence. Lines that are records (a quarter of their tokens with digits or more) and pieces
-    of fewer than two words are no sentences; stamps, speakers and bullets before a line are left out."""
+    of fewer than two words are no sentences; stamps, speakers and bullets before a line are left out. A tag of at most five words
+    that begins without a capital belongs to the sentence before it on its line."""
     out = []
-    for line in plain_letters(text).text.lower().split("\n"):
+    for line in plain_letters(text).text.split("\n"):
         line = LEAD.sub("", line, count=1)
         tokens = TOKEN.findall(line)
         if not tokens or sum(any(c.isdigit() for c in t) for t in tokens) * 4 >= len(tokens):
             continue
+        first = True
         for piece in SENTENCE.findall(line):
-            if len(words := WORD.findall(piece)) >= 2:
+            words = WORD.findall(piece)
+            if len(words) < 2:
+                continue
+            tag = len(words) <= 5 and (words[0][0].islower() or words[0] == "I")
+            words = [w.lower() for w in words]
+            if tag and not first:
+                out[-1] += words
+            else:
                 out.append(words)
+            first = False
     return out
 
 
@@ -121,6 +131,8 @@ class Topics:
     def update(self, found: np.ndarray | None) -> None:
         if found is not None:
             self.weights = self.prior + found
+        if not self.vocabulary:
+            return
         self.spread = np.exp(digamma(self.weights) - digamma(self.weights.sum(axis=1, keepdims=True))).T.copy()
 
     def read(self, starts: np.ndarray, word: np.ndarray, times: np.ndarray, alpha: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +162,45 @@ class Topics:
 
 
 def _bags(model: Topics, docs: list[list[str]]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    kept, starts, word, times = [], [], [], []
+    """Of the documents with known words: which they are, where each starts, its different words and how often each stands there."""
+    kept, sizes, word, times = [], [], [], []
     for i, ws in enumerate(docs):
         ids = [k for w in ws if (k := model.number.get(w)) is not None]
         if ids:
             u, n = np.unique(ids, return_counts=True)
             kept.append(i)
-            starts.append(sum(map(len, word[-1:])) + (starts[-1] if starts else 0))
+            sizes.append(len(u))
             word.append(u)
             times.append(n)
-    return kept, np.array(starts), np.concatenate(word) if word else np.array([], int), np.concatenate(times) if times else np.array([])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int) if sizes else np.array([], int)
+    return kept, starts, np.concatenate(word) if word else np.array([], int), np.concatenate(times) if times else np.array([])
 
 
-def fit_topics(docs: DataFrame, subjects: list[str], background: int = 8, most_words: int = 20_000, common: float = 0.10,
+BAGS = "labels array<int>, word array<int>, times array<int>"
+
+
+def encode_bags(docs: DataFrame, model: Topics, subjects: list[str]) -> DataFrame:
+    """The documents as numbers, so that no pass looks up words again."""
+    place = {s: k for k, s in enumerate(subjects)}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        m = shared.value
+        ints = pa.list_(pa.int32())
+        for batch in batches:
+            bags, labels = batch.column("words").to_pylist(), batch.column("labels").to_pylist()
+            kept, starts, word, times = _bags(m, bags)
+            cut = np.append(starts, len(word)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int32))) for x in (word, times)]
+            known = pa.array([[place[s] for s in labels[i] or [] if s in place] for i in kept], ints)
+            yield pa.RecordBatch.from_arrays([known, *(x.cast(ints) for x in lists)], names=["labels", "word", "times"])
+
+    return docs.select("labels", "words").mapInArrow(run, BAGS)
+
+
+def fit_topics(docs: DataFrame, subjects: list[str], background: int = 8, most_words: int = 20_000, common: float = 0.5,
                rare: int = 3, spread: float = 0.22, passes: int = 8, seed: int = 7, cuts: Cuts | None = None) -> Topics:
     """Latent Dirichlet topics by variational Bayes, distributed: in each pass every task reads its documents with the
     current weights and returns expected word counts per topic, which are added up by a shuffle; the driver
@@ -185,7 +223,7 @@ def fit_topics(docs: DataFrame, subjects: list[str], background: int = 8, most_w
     if not words:
         return model
     sc = docs.sparkSession.sparkContext
-    place = {s: k for k, s in enumerate(subjects)}
+    bags = (cuts or Cuts(docs.sparkSession, "topics")).cut(encode_bags(docs, model, subjects))
     for _ in range(passes):
         shared = sc.broadcast(model)
 
@@ -194,17 +232,15 @@ def fit_topics(docs: DataFrame, subjects: list[str], background: int = 8, most_w
 
             m = shared.value  # noqa: B023
             total = np.zeros_like(m.weights)
-            for batch in batches:
-                bags, labels = batch.column("words").to_pylist(), batch.column("labels").to_pylist()
-                for at in range(0, len(bags), 500):
-                    kept, starts, word, times = _bags(m, bags[at:at + 500])
-                    if not kept:
-                        continue
-                    alpha = np.full((len(kept), len(m.weights)), m.alpha)
-                    for j, i in enumerate(kept):
-                        for s in labels[at + i] or []:
-                            if s in place:
-                                alpha[j, place[s]] += 3.0
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    batch = whole.slice(at, 500)
+                    column = batch.column("word")
+                    starts = column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
+                    word, times = column.flatten().to_numpy(), batch.column("times").flatten().to_numpy()
+                    alpha = np.full((batch.num_rows, len(m.weights)), m.alpha)
+                    for j, known in enumerate(batch.column("labels").to_pylist()):
+                        alpha[j, known] += 3.0
                     _, p = m.read(starts, word, times, alpha, 10)
                     order = np.argsort(word, kind="stable")
                     heads = np.flatnonzero(np.diff(word[order], prepend=-1))
@@ -212,7 +248,7 @@ def fit_topics(docs: DataFrame, subjects: list[str], background: int = 8, most_w
             k, w = np.nonzero(total > 1e-3)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.int32()), pa.array(total[k, w])], names=["k", "w", "v"])
 
-        sums = docs.select("labels", "words").mapInArrow(run, "k int, w int, v double").groupBy("k", "w").agg(F.sum("v").alias("v")).toArrow()
+        sums = bags.mapInArrow(run, "k int, w int, v double").groupBy("k", "w").agg(F.sum("v").alias("v")).toArrow()
         found = np.zeros_like(model.weights)
         found[sums.column("k").to_numpy(), sums.column("w").to_numpy()] = sums.column("v").to_numpy()
         model.update(found)
@@ -277,5 +313,5 @@ def assign_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame |
     subjects = sorted(r.subject for r in areas.where("subject is not null").select("subject").distinct().limit(1000).collect())
     cuts = Cuts(documents.sparkSession, "subjects")
     docs = cuts.cut(read_sentences(documents, labels))
-    found = document_subjects(docs, fit_topics(docs, subjects), share)
+    found = document_subjects(docs, fit_topics(docs, subjects, cuts=cuts), share)
     return found.groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
