@@ -39,7 +39,10 @@ def test_every_token_has_its_place(spark):
         got = {x.doc_id: x.n for x in out.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
         assert got == {i: n for i, t in enumerate(texts) if (n := len(e.encode_ordinary(t)))}
         rep = fill_report(out, 512).first()
-        assert rep.fullest <= 512 and rep.containers <= rep.least_containers * 1.05 + 1
+        pieces = [x.n_tokens for x in out.collect()]
+        # no worse than best fit over everything, but that a shard leaves about one bin with room
+        most = len(best_fit(pieces, 512)) + (len(texts) / shard if shard < len(texts) else 0)
+        assert rep.fullest <= 512 and rep.least_containers <= rep.containers <= most
         split = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("first_token").alias("t")).where("n > 1").collect()
         assert {s.doc_id for s in split} == {i for i, n in got.items() if n > 512}
     assert pack(df.limit(0)).count() == 0
