@@ -13,6 +13,7 @@ Andrew: Andy Drew
 Anthony: Tony
 Beatriz: Bea Trixie Betty
 Benjamin: Ben Benny
+Björn: Bjarne
 Catherine: Cathy Cate
 Charles: Charlie Chuck
 Chidera: Dera Chi
@@ -65,6 +66,7 @@ Robert: Bob Rob Bobby Robbie Bert
 Samantha: Sam Sammy Mantha
 Samuel: Sammy
 Susan: Sue Susie
+Søren: Sören
 Thandiwe: Thandi Thandie
 Theodore: Ted Theo Teddy
 Thomas: Tom Tommy

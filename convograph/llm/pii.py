@@ -175,6 +175,12 @@ GERMAN = re.compile(
     r"(?<![\w-])(?:(?:[A-ZÄÖÜ][\w-]+ )?(?:Stra(?:ß|ss)e|Weg|Platz|Gasse|Allee|Damm|Ufer|STRASSE|WEG|PLATZ|GASSE|ALLEE)|"
     r"[^\W\d_][\w-]*(?:(?i:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee|damm|ufer|ring|steig)))\s?(?:Nr\.? ?)?\d{1,4}\s?[a-zA-Z]?(?![\w@]|[-./]\d)"
 )
+# What stands after "am" without being a street.
+NOT_PLACES = ("montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonntag|abend|morgen|mittag|nachmittag|wochenende|ende|anfang|tag|januar|februar|märz|april|mai|juni|juli|"
+              "august|september|oktober|november|dezember")
+GERMAN_PLACE = re.compile(
+    rf"(?i)(?<![\w-])(?:am|im|an der|an den|in der|auf dem|auf der|zum|zur|unter den|hinter der) (?!(?:{NOT_PLACES})\b)[^\W\d_][\w-]{{3,}} \d{{1,4}}[a-z]?(?=[,.;!?)]|\s|$)(?![-./]\d)"
+)
 _link = r"(?:de la|de las|de los|del|de|da|do|das|dos|della|di)"
 ROMANCE = re.compile(
     rf"(?i)(?<![\w-])(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|carrera|carretera|ronda|rua|travessa|praça|largo|estrada|alameda|via|viale|piazza|corso)(?:(?<=[./]) ?| )"
@@ -188,6 +194,7 @@ RUSSIAN = re.compile(r"(?i)(?<![\w-])(?:ул\.|улица|проспект|пр-
 CJK = re.compile(r"[\u4e00-\u9fff]{1,8}(?:路|街|大道|巷|弄)\d{1,5}(?:号|號)|\d{1,3}丁目\d{1,3}(?:番地?)?(?:\d{1,3}号)?")
 STREET_WORDS = frozenset(
     f"{STREETS}|{STREETS_CAPITAL}".lower().split("|")
+    + "am im zum zur hinter".split()
     + "calle c avenida avda av plaza paseo camino carrera carretera ronda rua travessa praça largo estrada alameda via viale piazza corso".split()
     + "rue impasse place chemin boulevard bd allée quai cours passage route ruelle square ул улица проспект пр переулок пер площадь бульвар наб шоссе".split()
 )
@@ -214,7 +221,7 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
             if not (m[0].endswith(".") and after[1][:1].isupper()):
                 continue
         yield m.start(), m.end() - ended
-    for p in (FRENCH, ROMANCE, GERMAN, RUSSIAN, CJK):
+    for p in (FRENCH, ROMANCE, GERMAN, GERMAN_PLACE, RUSSIAN, CJK):
         for m in p.finditer(text):
             yield m.start(), m.end()
 

@@ -24,6 +24,7 @@ CASES = [
     ("meet at 5 Mistral Road, flat 2 around noon", [("address", "5 Mistral Road")]),
     ("we sold 12 Harrowgate Street posters to the Larkspur Avenue choir", []),
     ("das Paket kam in die Lindenweg 231b zurück", [("address", "Lindenweg 231b")]),
+    ("das Paket kam in die Am Rehberg 21, 05537 zurück, am Montag 12 Leute", [("address", "Am Rehberg 21")]),
     ("fue a Calle Alborada n.º 121, 2º B por error", [("address", "Calle Alborada n.º 121")]),
     ("on se voit au 33 bis avenue du Moulin vers midi", [("address", "33 bis avenue du Moulin")]),
     ("tell Dr Renée de la Hatononer-Gozes that Robert talked", [("name", "Renée de la Hatononer-Gozes")]),
