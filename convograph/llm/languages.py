@@ -328,9 +328,9 @@ def hash_order(s: str) -> int:
     return xxhash.xxh64_intdigest(s)
 
 
-def fit_languages(texts: DataFrame, rows_each: int = 2500, letters: int = 40_000, letters_cjk: int = 16_000) -> Model:
+def fit_languages(texts: DataFrame, rows_each: int = 2500, letters: int = 40_000, letters_cjk: int = 16_000, most_letters: int = 4000) -> Model:
     """The model of the languages in (src, row_no, text, lang). It is fitted on a bounded sample: about ``rows_each``
-    labelled rows a language, chosen by a hash of their key, of which at most ``letters`` characters (``letters_cjk``
+    labelled rows a language of at most ``most_letters`` characters, chosen by a hash of their key, of which at most ``letters`` characters (``letters_cjk``
     in Chinese and Japanese, whose tables are wide) go into a language's automaton."""
     lang = F.element_at(F.split(F.lower(F.trim("lang")), "[-_]"), 1)
     labelled = texts.select("src", "row_no", "text", lang.alias("lang")).where(F.col("lang").isin(*LANGUAGES))
@@ -340,7 +340,7 @@ def fit_languages(texts: DataFrame, rows_each: int = 2500, letters: int = 40_000
     for x, n in counts.items():
         picked = picked | ((F.col("lang") == x) & (draw < int(1_000_000 * min(1.0, rows_each / n))))
     # the draw is even, so the bound holds up to chance; the limit makes it hard
-    rows = labelled.where(picked).select("lang", F.substring("text", 1, 4000).alias("text")).limit(2 * rows_each * len(LANGUAGES)).collect()
+    rows = labelled.where(picked & (F.char_length("text") <= most_letters)).select("lang", "text").limit(2 * rows_each * len(LANGUAGES)).collect()
     most = {x: letters_cjk if x in ("ja", "zh") else letters for x in LANGUAGES}
     return Model(clean_labelled([(r.lang, r.text) for r in rows if r.text], most))
 
