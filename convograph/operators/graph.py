@@ -1,11 +1,13 @@
 """Reads and writes over the bitemporal fact graph."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import Cuts
+
 KEY = ["chat_id", "source_id", "relationship_name", "target_id", "valid_at"]
 ORDER = ["created_at", "valid_at"]
 
@@ -142,6 +144,81 @@ def repoint(edges: DataFrame, survivors: DataFrame) -> DataFrame:
     return m.groupBy(*KEY).agg(F.min("created_at").alias("created_at"), F.max("invalid_at").alias("invalid_at"), F.count(F.lit(1)).alias("folded"))
 
 
+def final_survivors(pairs: DataFrame, stats: DataFrame, cuts: Cuts) -> DataFrame:
+    """(chat_id, loser, survivor): every node of a connected group of matched pairs (chat_id, x, y) but the one that stays, which is the
+    best of the group by ``stats`` (chat_id, id, degree, created_us): higher degree, earlier created, smaller id.
+
+    Each node hooks to its best neighbour where that is better, pointers are doubled up to the roots, and links between roots stay for
+    the next round. A root that nothing hooked to has a better neighbour in the next round, so every two rounds halve what is left."""
+    rank = F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), F.coalesce("created_us", F.lit(2**62)).alias("t"), F.col("id"))
+    ids = pairs.select("chat_id", F.col("x").alias("id")).union(pairs.select("chat_id", "y")).distinct()
+    node = cuts.cut(ids.join(stats, ["chat_id", "id"], "left").select("chat_id", "id", rank.alias("r")))
+    side = lambda c, r: node.select("chat_id", F.col("id").alias(c), F.col("r").alias(r))
+    p = pairs.join(side("x", "u"), ["chat_id", "x"]).join(side("y", "v"), ["chat_id", "y"]).where("u <> v")
+    links = cuts.cut(p.select("chat_id", "u", "v").union(p.select("chat_id", "v", "u")).distinct())
+    owner = cuts.cut(node.select("chat_id", F.col("r").alias("node"), F.col("r").alias("at")))
+    while links.take(1):
+        up = cuts.cut(links.groupBy("chat_id", "u").agg(F.min("v").alias("up")).where("up < u"))
+        while True:
+            far = up.select("chat_id", F.col("u").alias("up"), F.col("up").alias("next"))
+            step = cuts.cut(up.join(far, ["chat_id", "up"], "left").select("chat_id", "u", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
+            cuts.drop(up)
+            up = step
+            if not up.where("moved").take(1):
+                break
+        root = lambda c: up.select("chat_id", F.col("u").alias(c), F.col("up").alias(f"root_{c}"))  # noqa: B023, E731
+        moved = cuts.cut(owner.join(root("at"), ["chat_id", "at"], "left").select("chat_id", "node", F.coalesce("root_at", "at").alias("at")))
+        between = links.join(root("u"), ["chat_id", "u"], "left").join(root("v"), ["chat_id", "v"], "left")
+        after = cuts.cut(between.select("chat_id", F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).where("u <> v").distinct())
+        cuts.drop(owner, links, up)
+        owner, links = moved, after
+    return owner.where("node <> at").select("chat_id", F.col("node.id").alias("loser"), F.col("at.id").alias("survivor"))
+
+
+def _first_of_equivalent(valid: DataFrame) -> DataFrame:
+    """Of the valid edges between two nodes, those that did not move stay; moved ones stay in order of their merge unless an edge that
+    stays has the same text or the same start. That is not transitive, so rows stream through in order and texts and starts are held."""
+    pair = ["chat_id", "source_id", "relationship_name", "target_id"]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, texts, starts = None, set(), set()
+        for batch in batches:
+            keep = []
+            for *key, text, start, moved in zip(*(batch.column(c).to_pylist() for c in (*pair, "edge_text", "valid_us", "moved")), strict=True):
+                if key != now:
+                    now, texts, starts = key, set(), set()
+                keep.append(not moved or not (text in texts or start in starts))
+                if keep[-1]:
+                    texts.add(text)
+                    starts.add(start)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    v = valid.withColumn("valid_us", F.unix_micros("valid_at")).repartition(*pair)
+    v = v.sortWithinPartitions(*pair, "moved", "turn", "created_at", "old_source", "old_target", "valid_us")
+    return v.mapInArrow(run, v.schema).drop("valid_us")
+
+
+def merge_edge_ends(edges: DataFrame, survivors: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Edges after all merges of ``survivors`` (chat_id, loser, survivor), where no survivor is a loser: ends move, self-loops that arise are
+    dropped, a moved valid edge is dropped where an equivalent valid one is there, invalid edges stay as history, and at last the
+    one-winner rule holds for the survivors. Adds ``still_valid``; merges take place in order of the loser's id."""
+    to = lambda c: survivors.select("chat_id", F.col("loser").alias(c), F.col("survivor").alias(f"new_{c}"))
+    m = edges.join(to("source_id"), ["chat_id", "source_id"], "left").join(to("target_id"), ["chat_id", "target_id"], "left")
+    lost = lambda c: F.when(F.col(f"new_{c}").isNotNull(), F.col(c))
+    m = m.select("chat_id", F.coalesce("new_source_id", "source_id").alias("source_id"), "relationship_name", F.coalesce("new_target_id", "target_id").alias("target_id"),
+                 "valid_at", "invalid_at", "edge_text", "created_at", F.greatest(lost("source_id"), lost("target_id")).alias("turn"),
+                 F.col("source_id").alias("old_source"), F.col("target_id").alias("old_target"))
+    m = m.withColumn("moved", F.col("turn").isNotNull()).where("source_id <> target_id or not moved")
+    helper = ["turn", "old_source", "old_target", "moved"]
+    valid = _first_of_equivalent(valid_now(m)).drop(*helper)
+    stay = survivors.select("chat_id", F.col("survivor").alias("source_id")).distinct()
+    beaten = one_winner(valid.join(stay, ["chat_id", "source_id"], "left_semi"), kinds).withColumn("beaten", F.lit(True))
+    valid = valid.join(beaten, KEY, "left").withColumn("still_valid", F.col("beaten").isNull()).drop("beaten")
+    return valid.unionByName(m.where("invalid_at is not null").drop(*helper).withColumn("still_valid", F.lit(False)))
+
+
 def alias_audit(edges: DataFrame) -> DataFrame:
     """Per chat: rows, distinct facts regardless of time, duplicates, self-loops, most rows of one fact."""
     per = edges.groupBy("chat_id", "source_id", "relationship_name", "target_id").agg(F.count(F.lit(1)).alias("n"))

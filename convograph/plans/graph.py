@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.text import RESERVED, contains_literal, fold_ascii
+from ..lineage import Cuts
 from ..operators import graph, recall, vector
 from ..sources import table
 
@@ -123,12 +124,33 @@ def repoint(spark, folder):
 def pairs_rewrite(spark, folder):
     """Scored pairs after the merges: losers become their survivor, pairs of one node go, the best score of a pair stays."""
     one = survivors(spark, folder).groupBy("chat_id", "loser").agg(F.min("survivor").alias("survivor"))
+    return _rewritten(_pairs(spark, folder), one)
+
+
+def final(spark, folder):
+    """Every merged node with the one node that stays of its group, however long the chain of matches."""
+    p = _pairs(spark, folder).where("score >= 0.88 and not isnan(score)").select("chat_id", "x", "y").distinct()
+    return graph.final_survivors(p, graph.merge_stats(_nodes(spark, folder), _edges(spark, folder)), Cuts(spark, "merge"))
+
+
+def merged_edges(spark, folder):
+    """Edges after all merges, chains followed to their end; q_merge_repoint follows its SQL, which moves a loser one step."""
+    e = graph.merge_edge_ends(_edges(spark, folder), final(spark, folder), table(spark, folder, "relationship_kinds"))
+    return _key(e).withColumn("created_at", F.unix_micros("created_at")).withColumn("invalid_at", F.unix_micros("invalid_at"))
+
+
+def _rewritten(pairs, one):
     to = lambda c: one.select("chat_id", F.col("loser").alias(c), F.col("survivor").alias(f"s_{c}"))
-    p = _pairs(spark, folder).where("not isnan(score)").join(to("x"), ["chat_id", "x"], "left").join(to("y"), ["chat_id", "y"], "left")
+    p = pairs.where("not isnan(score)").join(to("x"), ["chat_id", "x"], "left").join(to("y"), ["chat_id", "y"], "left")
     p = p.select("chat_id", F.coalesce("s_x", "x").alias("a"), F.coalesce("s_y", "y").alias("b"), "score").where("a <> b")
     return p.groupBy("chat_id", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("score").alias("score"))
 
 
+def merged_pairs(spark, folder):
+    """Scored pairs after all merges, chains followed to their end."""
+    return _rewritten(_pairs(spark, folder), final(spark, folder))
+
+
 def mentions(spark, folder):
     """Senders bound to the Person nodes of their chat by folded name; the node first created wins."""
     m = table(spark, folder, "messages").where("sender_id is not null").select("chat_id", "sender_id", fold_ascii(F.trim("sender_display_name")).alias("n")).distinct()
@@ -218,6 +240,7 @@ QUERIES = {
     "q_merge_invariant": _graph(lambda e, s, d: _key(graph.one_winner(e, table(s, d, "relationship_kinds")))),
     "q_write_invalidate": lambda s, d: _key(graph.last_write_wins(table(s, d, "memory_edges"), table(s, d, "relationship_kinds"))),
     "q_merge_survivor": survivors, "q_merge_repoint": repoint, "q_pairs_rewrite": pairs_rewrite,
+    "q_merge_final": final, "q_merge_edges": merged_edges, "q_merge_pairs": merged_pairs,
     "q_alias_audit": lambda s, d: graph.alias_audit(table(s, d, "memory_edges")),
     "q_reconcile_edge_text_diff": edge_text_diff, "q_reconcile_missing": missing_names, "q_embed_ids_union": ids_union, "q_reconcile_orphans": orphans,
     "q_text_search": text_search, "q_name_validation": name_validation, "q_resolve_mentions": mentions, "q_promotion_pairs": promotion,
