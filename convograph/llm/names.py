@@ -4,6 +4,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -248,6 +249,45 @@ def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.25, blo
     )
 
 
+def forms(word: str) -> set[str]:
+    """The word with up to as many letters left out as it may have edits: two words within the allowed edits share a form, as
+    an edit, also a swap, is undone by leaving out one letter on one or both sides."""
+    n = len(word)
+    return {"".join(c for i, c in enumerate(word) if i not in out) for k in range(allowed(n) + 1) for out in combinations(range(n), k)}
+
+
+def near_people(spellings: DataFrame) -> DataFrame:
+    """(chat_id, kind, a, b): all pairs of people's spellings of one chat that ``person_likeness`` may accept though family names
+    differ, as few n-grams as they may share. Family names meet in a form, and under a letter that their given names begin with or that is their initial."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for chat, spelling in zip(batch.column("chat_id").to_pylist(), batch.column("spelling").to_pylist(), strict=True):
+                family, given, initial = spelling.split("|")
+                if allowed(len(family)):
+                    rows += [(chat, spelling, family, x) for x in ({g[0] for g in given.split(",")} if given else {initial})]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["chat_id", "spelling", "family", "letter"])
+
+    def spread(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("of"), batch.column("bucket"), pa.array([sorted(forms(f)) for f in batch.column("family").to_pylist()], pa.list_(pa.string()))],
+                                             names=["of", "bucket", "forms"])
+
+    named = spellings.where("kind = 'person'").select("chat_id", "spelling").mapInArrow(run, "chat_id string, spelling string, family string, letter string")
+    named = named.withColumn("bucket", F.xxhash64("chat_id", "letter")).withColumn("of", F.xxhash64("bucket", "family"))
+    form = named.groupBy("of").agg(F.first("family").alias("family"), F.first("bucket").alias("bucket"))
+    keys = form.select("of", "bucket", "family").mapInArrow(spread, "of long, bucket long, forms array<string>")
+    keys = keys.select("of", F.explode("forms").alias("form"), "bucket").select("of", F.xxhash64("bucket", "form").alias("key"))
+    met = keys.withColumnRenamed("of", "x").join(keys.withColumnRenamed("of", "y"), "key").where("x < y").select("x", "y").distinct()
+    side = lambda c: named.select(F.col("of").alias(c), "chat_id", F.col("spelling").alias(f"s_{c}"))
+    return met.join(side("x"), "x").join(side("y").drop("chat_id"), "y").where("s_x <> s_y").select(
+        "chat_id", F.lit("person").alias("kind"), F.least("s_x", "s_y").alias("a"), F.greatest("s_x", "s_y").alias("b"))
+
+
 def likeness(pairs: DataFrame) -> DataFrame:
     """Adds ``s``, how well the parts of two spellings agree, from 0 to 1; pairs with 0 are left out."""
     def run(batches: Iterator) -> Iterator:
@@ -293,11 +333,11 @@ def average_linkage(links: DataFrame, least: float, cuts: Cuts) -> DataFrame:
 def link_names(messages: DataFrame, nodes: DataFrame, candidates: DataFrame, least: float = 0.5) -> DataFrame:
     """(chat_id, ref, entity): records of people and organisations with the entity they belong to; entity is
     comparable within a chat only. Spellings of one record, and records of one spelling, belong together; other
-    spellings are compared by parts where their n-gram vectors are similar, and grouped by average linkage."""
+    spellings are compared by parts where their n-gram vectors are similar, people's wherever they may agree, and grouped by average linkage."""
     cuts = Cuts(messages.sparkSession, "names")
     named = cuts.cut(read_names(records(messages, nodes, candidates), learned_given(nodes)))
     spellings = named.select("chat_id", "kind", "spelling").distinct()
-    scored = likeness(similar_spellings(spellings, cuts))
+    scored = likeness(similar_spellings(spellings, cuts).union(near_people(spellings)).distinct())
     ident = lambda c: F.concat_ws("\u0001", "chat_id", "kind", c)
     # spellings that share a record are one item, however they differ
     first = named.groupBy("chat_id", "ref", "kind").agg(F.min("spelling").alias("a"))

@@ -3,7 +3,7 @@ import pytest
 
 from convograph.lineage import Cuts
 from convograph.llm.given_names import short_forms
-from convograph.llm.names import Reader, average_linkage, edits, link_names, organisation_likeness, person_likeness, same_entity_pairs, similar_spellings, grams
+from convograph.llm.names import Reader, average_linkage, edits, likeness, link_names, near_people, organisation_likeness, person_likeness, same_entity_pairs, similar_spellings, grams
 
 R = Reader(frozenset(short_forms()))
 
@@ -47,6 +47,24 @@ def test_prefix_join_loses_no_similar_pair(spark):
         assert want <= got
 
 
+def test_no_pair_of_people_is_lost(spark):
+    rng = np.random.default_rng(5)
+    words = ["kizukiin", "kiuzkini", "faseimfi", "fssemifi", "heepvorer", "hepevoer", "weber", "wbeer", "meyer", "meier", "silva", "sliva", "abc", "acb"]
+    for w in list(words):
+        for _ in range(4):
+            at = int(rng.integers(0, len(w) - 1))
+            words += [w[:at] + w[at + 1] + w[at] + w[at + 2:], w[:at] + w[at + 1:], w[:at] + "q" + w[at:], w[:at] + "z" + w[at + 1:]]
+    who = [("robert", ""), ("bob,robert", ""), ("farida", ""), ("", "r"), ("", "b"), ("", "")]
+    rows = sorted({("c", "person", f"{w}|{g}|{i}") for w in words for g, i in who})
+    df = spark.createDataFrame(rows, "chat_id string, kind string, spelling string")
+    pairs = similar_spellings(df, Cuts(spark, "t")).union(near_people(df)).distinct()
+    got = {(r.a, r.b): r.s for r in likeness(pairs).collect()}
+    part = {s: tuple(s.split("|")) for _, _, s in rows}
+    want = {(a, b): x for a in part for b in part if a < b and (x := person_likeness(part[a], part[b]))}
+    assert got == want and ("kiuzkini|robert|", "kizukiin|robert|") in got and ("wbeer|robert|", "weber|robert|") in got
+    assert near_people(df.limit(0)).count() == 0
+
+
 def linkage_model(links, least):
     s = {frozenset(p[:2]): p[2] for p in links}
     groups = [frozenset([x]) for x in {x for p in links for x in p[:2]}]
