@@ -189,9 +189,14 @@ def quota(spark, folder):
     return recall.source_quota(collapse(spark, folder), 8, 5).select("request", "place", "origin", "source_id", "relationship_name", "target_id")
 
 
-def not_injected(spark, folder):
+def presented(spark, folder):
+    """The quota of the reference, 40 in all and 24 of wake; q_recall_quota follows its SQL, which has 8 and 5."""
+    return recall.source_quota(collapse(spark, folder)).select("request", "place", "origin", "source_id", "relationship_name", "target_id")
+
+
+def not_injected(spark, folder, shown=quota):
     """Presented candidates less those in the ledger of facts already told: the presented ones of place 1."""
-    q = quota(spark, folder)
+    q = shown(spark, folder)
     ledger = q.where("place = 1").select("source_id", "relationship_name", "target_id").distinct()
     return q.join(ledger, ["source_id", "relationship_name", "target_id"], "left_anti")
 
@@ -245,6 +250,7 @@ QUERIES = {
     "q_reconcile_edge_text_diff": edge_text_diff, "q_reconcile_missing": missing_names, "q_embed_ids_union": ids_union, "q_reconcile_orphans": orphans,
     "q_text_search": text_search, "q_name_validation": name_validation, "q_resolve_mentions": mentions, "q_promotion_pairs": promotion,
     "q_recall_collapse": collapse, "q_recall_quota": quota, "q_recall_dedup_injected": not_injected,
+    "q_recall_presented": presented, "q_recall_presented_new": lambda s, d: not_injected(s, d, presented),
     "q_vec_knn": knn, "q_vec_merge_scan": vec_merge, "q_vec_pair_bands": vec_bands, "q_ids_and_hashes": node_ids,
 }
 
