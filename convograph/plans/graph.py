@@ -158,16 +158,28 @@ def mentions(spark, folder):
     return m.join(p, ["chat_id", "n"]).groupBy("chat_id", "sender_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("node_id"))
 
 
+def names_in_texts(names, texts, gram=4):
+    """(chat_id, id, n): names (chat_id, n) that a text (chat_id, id, t) of their chat contains anywhere, blank names in none. A name is looked
+    up by its piece of ``gram`` characters (all of it if shorter) that fewest names share, and then compared with the whole text."""
+    names = names.where(F.trim("n") != "").distinct()
+    size = F.least(F.lit(gram), F.char_length("n"))
+    pieces = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - k + 1), lambda i: F.col(c).substr(i, k)))
+    own = names.select("chat_id", "n", size.alias("k"), F.explode(pieces("n", size)).alias("piece"))
+    share = own.groupBy("chat_id", "piece").agg(F.count(F.lit(1)).alias("names"))
+    key = own.join(share, ["chat_id", "piece"]).groupBy("chat_id", "n", "k").agg(F.min_by("piece", F.struct("names", "piece")).alias("piece"))
+    lengths = key.groupBy("chat_id").agg(F.collect_set("k").alias("lengths"))  # at most gram of them
+    t = texts.join(lengths, "chat_id").select("chat_id", "id", "t", F.explode("lengths").alias("k")).where(F.char_length("t") >= F.col("k"))
+    t = t.select("chat_id", "id", F.explode(pieces("t", F.col("k"))).alias("piece"))
+    maybe = t.join(key.drop("k"), ["chat_id", "piece"]).select("chat_id", "id", "n")
+    return maybe.join(texts, ["chat_id", "id"]).where(F.instr("t", F.col("n")) > 0).select("chat_id", "id", "n").distinct()
+
+
 def promotion(spark, folder):
-    """Scored pairs both of whose names a message of the chat contains. Names are looked up among the runs of words of a
-    message, so no message meets all pairs of its chat."""
+    """Scored pairs both of whose names a message of the chat contains, anywhere in its text."""
     c = table(spark, folder, "merge_candidates").where("a_id <> b_id and a_name <> b_name").select("chat_id", fold_ascii("a_name").alias("a"), fold_ascii("b_name").alias("b")).distinct()
-    names = c.select("chat_id", F.col("a").alias("n")).union(c.select("chat_id", "b")).distinct()
+    names = c.select("chat_id", F.col("a").alias("n")).union(c.select("chat_id", "b"))
     m = table(spark, folder, "messages").where("text is not null").select("chat_id", "id", fold_ascii("text").alias("t"))
-    words = F.split("t", " ")
-    size = F.size(words)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), size - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
-    hit = m.select("chat_id", "id", F.explode(F.array_distinct(runs)).alias("n")).join(names, ["chat_id", "n"])
+    hit = names_in_texts(names, m)
     a, b = hit.select("chat_id", "id", F.col("n").alias("a")), hit.select("chat_id", "id", F.col("n").alias("b"))
     return c.join(a, ["chat_id", "a"]).join(b, ["chat_id", "b", "id"]).groupBy("chat_id", "a", "b").agg(F.count_distinct("id").alias("messages"))
 
