@@ -48,3 +48,10 @@ def test_dirty_pairs(spark):
     pairs = [("a", "a", 1.0), ("a", None, 1.0), (None, "b", 1.0), ("", "b", 1.0), ("p", "q", 0.879), ("x", "y", 0.88), ("y", "x", 0.1), ("x", "y", 0.99)]
     assert got(group_matches(frame(spark, pairs * 2))) == {("x", "x"), ("y", "x")}
     assert got(group_matches(frame(spark, []))) == set()
+
+
+def test_levels_before_the_last_task(spark):
+    r = random.Random(7)
+    pairs = [(f"n{r.randrange(120)}", f"n{r.randrange(120)}", 0.9) for _ in range(110)]
+    df = frame(spark, pairs)
+    assert got(group_matches(df, last_links=10)) == got(group_matches(df, beta=2.0)) == model(pairs)
