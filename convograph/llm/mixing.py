@@ -1,70 +1,69 @@
 """Mixing sources to target weights by Poisson replication."""
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import Cuts
 from .tokens import RANKS, count_tokens
 
 
-def draws(rate: Column, most: Column, u: Column, limit: int) -> Column:
-    """The inverse of the Poisson distribution with mean ``rate`` at ``u``, ``most`` at most (``limit`` bounds all ``most``)."""
-    term, total, n = F.exp(-rate), F.exp(-rate), F.lit(0)
-    for k in range(1, limit + 1):
-        n = n + F.when((u > total) & (F.lit(k) <= most), 1).otherwise(0)
-        term = term * rate / k
-        total = total + term
-    return n
+def poisson_below(rate: float, most: int) -> np.ndarray:
+    """P(X <= k) for k from 0 to ``most - 1`` of a Poisson distribution with mean ``rate``, from logarithms, so that no mean is too large."""
+    if rate <= 0:
+        return np.ones(most)
+    k = np.arange(most)
+    log_p = k * np.log(rate) - rate - np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most)))])
+    return np.minimum(1.0, np.cumsum(np.exp(log_p)))
+
+
+def solve_rate(above: np.ndarray, goal: float, most: int) -> float:
+    """The mean at which documents come nearest to ``goal`` tokens, where ``above[i]`` tokens have a draw in bucket i or higher.
+
+    Copy k + 1 of a document exists if its draw is above P(X <= k), so the tokens used are a sum over k; they grow with the mean."""
+    buckets = len(above) - 1
+
+    def used(rate: float) -> float:
+        at = np.ceil(poisson_below(rate, most) * buckets).astype(int)
+        return float(above[np.minimum(at, buckets)].sum())
 
+    low, high = 0.0, most + 12.0 * most**0.5 + 60.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if used(mid) < goal else (low, mid)
+    return min((low, high), key=lambda r: abs(used(r) - goal))
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, grid: int = 24, rounds: int = 4, path: str = RANKS) -> DataFrame:
+
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, buckets: int = 1 << 16, path: str = RANKS) -> DataFrame:
     """(doc_id, copy_no, source, n_tokens, place): documents repeated so that each source comes to its target share of a total as
     large as all documents with a source, in a global shuffle: ``place`` is a hash, the rows are sorted by it.
 
     A document's number of copies is the inverse of a Poisson distribution at a uniform draw from its hash, cut off at the
-    source's max_repeats. The more the rate, the more copies every document gets, so for fixed draws a source's size
-    grows with its rate; the rate is found by trying ``grid`` rates at once in each of ``rounds`` passes over the sizes,
-    between the neighbours of the last best. A source that cannot come to its share even if each document is used
-    max_repeats times stays below it. Documents without source, of a source without target, or without tokens are not used;
-    ``targets`` is a fixed list, so it is broadcast and its rates are held by the driver."""
+    source's max_repeats. One pass counts the tokens of each source by draw in ``buckets`` steps; from these counts the driver solves the
+    mean repetition, so a source's size is exact to one step. The thresholds of the chosen distribution are a table with one row for each
+    possible copy, and a document joins the rows below its draw: the plan has the same size whatever max_repeats is.
+
+    A source that cannot come to its share even if each document is used max_repeats times stays below it. Documents without source, of a
+    source without target, or without tokens are not used. ``targets`` is a fixed list with one row for each source (of more the largest
+    share and repeats count), so it is broadcast, and the driver holds ``buckets`` counts for each of its rows."""
     cuts = Cuts(documents.sparkSession, "mixing")
     sized = count_tokens(documents.where("doc_id is not null and source is not null and text is not null"), "text", "n_tokens", "doc_id", "source", path=path)
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     sized = cuts.cut(sized.where("n_tokens > 0").withColumn("u", u))
-    have = {r.source: r.n for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(100_000).collect()}
-    total = sum(have.values())
-    goal = {r.source: (r.target_share * total, int(r.max_repeats)) for r in targets.limit(100_000).collect()
-            if r.source in have and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0}
-    if not goal:
-        return sized.limit(0).select("doc_id", F.lit(0).cast("long").alias("copy_no"), "source", "n_tokens", F.lit(0).cast("long").alias("place"))
-    limit = max(m for _, m in goal.values())
-    # at rate high even the smallest draw gives max_repeats
-    span = {s: (0.0, max(4.0 * m, 40.0)) for s, (_, m) in goal.items()}
-    spark = documents.sparkSession
-    for _ in range(rounds):
-        tries = [(s, k, lo + (hi - lo) * k / (grid - 1), goal[s][1]) for s, (lo, hi) in span.items() for k in range(grid)]
-        table = spark.createDataFrame(tries, "source string, k int, rate double, most int")
-        sums = sized.join(F.broadcast(table), "source").groupBy("source", "k").agg(
-            F.sum(F.col("n_tokens") * draws(F.col("rate"), F.col("most"), F.col("u"), limit)).alias("n")).collect()
-        got = {(r.source, r.k): r.n for r in sums}
-        for s, (lo, hi) in span.items():
-            step = (hi - lo) / (grid - 1)
-            reach = [k for k in range(grid) if got[s, k] >= goal[s][0]]
-            k = reach[0] if reach else grid - 1
-            span[s] = (lo + step * max(0, k - 1), lo + step * k)
-    # of the two neighbours the one that comes nearer
-    ends = [(s, k, r, goal[s][1]) for s, (lo, hi) in span.items() for k, r in enumerate((lo, hi))]
-    table = spark.createDataFrame(ends, "source string, k int, rate double, most int")
-    last = sized.join(F.broadcast(table), "source").groupBy("source", "k").agg(
-        F.sum(F.col("n_tokens") * draws(F.col("rate"), F.col("most"), F.col("u"), limit)).alias("n")).collect()
-    off = {(r.source, r.k): abs(r.n - goal[r.source][0]) for r in last}
-    rates = [(s, span[s][min((0, 1), key=lambda k: (off[s, k], k))], goal[s][1]) for s in span]
-    chosen = spark.createDataFrame(rates, "source string, rate double, most int")
-    copies = sized.join(F.broadcast(chosen), "source").withColumn("n", draws(F.col("rate"), F.col("most"), F.col("u"), limit)).where("n > 0")
-    out = copies.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("copy_no"), "source", "n_tokens")
+    wanted = targets.where("target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").cast("int").alias("most"))
+    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
+    counted = sized.join(F.broadcast(wanted), "source").groupBy("source", "share", "most", F.floor(F.col("u") * buckets).cast("int").alias("b")).agg(F.sum("n_tokens").alias("n")).collect()
+    at: dict[tuple, np.ndarray] = {}
+    for r in counted:
+        at.setdefault((r.source, r.share, r.most), np.zeros(buckets + 1))[r.b] += r.n
+    copies = []
+    for (source, share, most), n in sorted(at.items()):
+        below = poisson_below(solve_rate(np.cumsum(n[::-1])[::-1], share * total, most), most)
+        # the same steps as the counts, so that the size is the one that was solved
+        copies += [(source, k + 1, float(x)) for k, x in enumerate(np.ceil(below * buckets) / buckets) if x < 1.0]
+    table = documents.sparkSession.createDataFrame(copies, "source string, copy_no long, above double")
+    out = sized.join(F.broadcast(table), "source").where("u >= above").select("doc_id", "copy_no", "source", "n_tokens")
     return out.withColumn("place", F.xxhash64("doc_id", "copy_no", F.lit(seed + 1))).orderBy("place", "doc_id", "copy_no")
 
 
@@ -79,3 +78,15 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "target_share", "max_repeats", zero("n_tokens"), zero("copies"), zero("documents"), zero("most_repeats"),
         F.round(F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)), 6).alias("actual_share"),
         F.round(F.coalesce(F.col("copies") / F.col("documents"), F.lit(0.0)), 6).alias("mean_repeats"))
+
+
+def mixture_faults(mixed: DataFrame, documents: DataFrame, targets: DataFrame, path: str = RANKS) -> DataFrame:
+    """(fault, n): copies beyond max_repeats, copy numbers that do not count from 1 without a gap, copies of unknown documents, and
+    token counts that differ from the document's; all 0 if the mixture is right."""
+    per = mixed.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), F.max("copy_no").alias("top"), F.min("n_tokens").alias("low"), F.max("n_tokens").alias("high"))
+    own = count_tokens(documents.where("doc_id is not null"), "text", "size", "doc_id", "source", path=path).groupBy("doc_id", "source").agg(F.max("size").alias("size"), F.min("size").alias("least"))
+    j = per.join(own, ["doc_id", "source"], "left").join(F.broadcast(targets.groupBy("source").agg(F.max("max_repeats").alias("most"))), "source", "left")
+    fault = lambda name, c: F.struct(F.lit(name).alias("fault"), F.count_if(c).alias("n"))
+    return j.agg(F.array(
+        fault("beyond_max_repeats", F.col("top") > F.col("most")), fault("gap_in_copies", F.col("top") > F.col("n")),
+        fault("unknown_document", F.col("size").isNull()), fault("other_size", (F.col("low") < F.col("least")) | (F.col("high") > F.col("size")))).alias("f")).select(F.inline("f"))
