@@ -65,10 +65,14 @@ class Cuts:
             if table := self.tables.pop(id(df), None):
                 _delete(self._jvm, self._conf, table[0])
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Drops all tables but these."""
+        self.drop(*(t for _, t in list(self.tables.values()) if all(t is not f for f in frames)))
+
     def finish(self, df: DataFrame) -> DataFrame:
         """The result as a table of its own; all others are dropped."""
         out = self.cut(df)
-        self.drop(*(t for _, t in list(self.tables.values()) if t is not out))
+        self.keep(out)
         return out
 
     def close(self) -> None:
