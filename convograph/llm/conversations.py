@@ -92,6 +92,7 @@ def rebuild_conversations(log: DataFrame, hot_rows: int = 500_000) -> DataFrame:
     cuts = Cuts(log.sparkSession, "conversations")
     messages = cuts.cut(fold_messages(log))
     nodes = cuts.cut(link_roots(messages, cuts))
+    cuts.keep(nodes)
     # a message without any time makes its conversation's order unknown, so it is broken too
     place = F.struct("t", "depth", "first_id")
     turn = ~F.col("blank")
@@ -102,7 +103,7 @@ def rebuild_conversations(log: DataFrame, hot_rows: int = 500_000) -> DataFrame:
         .where("not bad and turns >= 2 and first = 'inbound' and last = 'outbound'").select("chat_id", "root")
     )
     turns = cuts.cut(nodes.where(turn).join(kept, ["chat_id", "root"], "left_semi"))
-    cuts.drop(messages, nodes)
+    cuts.keep(turns)
     order = [F.col("t"), F.col("depth"), F.col("first_id")]
     return number_rows(turns, ["chat_id", "root"], order, "t", "turn_no", hot_rows).select(
         "chat_id", F.col("root").alias("root_msg_id"), "turn_no", "platform_msg_id")
@@ -110,11 +111,12 @@ def rebuild_conversations(log: DataFrame, hot_rows: int = 500_000) -> DataFrame:
 
 def dialogue(log: DataFrame, turns: DataFrame) -> DataFrame:
     """Roles and text for the turns of ``rebuild_conversations``: (chat_id, root_msg_id, turn_no,
-    role, text), role being user for inbound and assistant for outbound messages."""
+    role, text), role being user for inbound and assistant for outbound messages; the direction is that of the earliest row, as in the fold."""
     rows = log.where(F.col("event_type").isin("message", "edit")).dropna(subset=KEY)
     late = F.struct("timestamp", (F.col("event_type") == "edit").alias("e"), "id")
+    early = F.struct(F.coalesce(F.unix_micros("timestamp"), F.lit(2**62)).alias("t"), "id")
     text = rows.join(turns, KEY, "left_semi").groupBy(*KEY).agg(
-        F.max_by("text", late).alias("text"), F.min_by("direction", "id").alias("direction"))
+        F.max_by("text", late).alias("text"), F.min_by("direction", early).alias("direction"))
     return turns.join(text, KEY).select(
         "chat_id", "root_msg_id", "turn_no",
         F.when(F.col("direction") == "outbound", "assistant").otherwise("user").alias("role"), "text")

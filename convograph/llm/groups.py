@@ -77,14 +77,14 @@ def finish(links: DataFrame) -> DataFrame:
     return links.where("u < v").select("u", "v").coalesce(1).mapInArrow(run, "v string, centre string")
 
 
-def group_matches(pairs: DataFrame, least: float = 0.88, beta: float = 0.7, last_links: int = 200_000) -> DataFrame:
+def group_matches(pairs: DataFrame, least: float = 0.88, beta: float = 0.7, last_links: int = 200_000, levels: int = 1) -> DataFrame:
     """(node_id, group_id): each node in a match with another node and the smallest id of all it
     is linked with directly or through others.
 
     Levels of decomposition: clusters contract to super-vertices, only links between clusters
     stay for the next level, and assignments are composed. A link is cut with probability of
     at most 1 - exp(-beta), so levels grow with the logarithm of the links whatever the shape,
-    also along chains; nothing is gathered on the driver. Once a contracted graph has at most ``last_links`` links (some 30 MB), one task
+    also along chains; nothing is gathered on the driver. Once a graph that went through ``levels`` levels has at most ``last_links`` links (some 30 MB), one task
     joins what is left, which gives the same groups. Repeated and swapped pairs
     count once, another row of a pair does not undo a match, and no pairs give no rows."""
     cuts = Cuts(pairs.sparkSession, "groups")
@@ -92,8 +92,7 @@ def group_matches(pairs: DataFrame, least: float = 0.88, beta: float = 0.7, last
     links = cuts.cut(m.union(m.select("v", "u")).distinct())
     owner, level = cuts.cut(links.select(F.col("v").alias("node_id"), F.col("v").alias("at")).distinct()), 0
     while left := links.count() // 2:
-        # the first level is always decomposed, the recursion ends in one task
-        last = level > 0 and left <= last_links
+        last = level >= levels and left <= last_links
         centres = cuts.cut(finish(links)) if last else decompose(links, level, beta, cuts)
         moved = cuts.cut(
             owner.join(centres.withColumnRenamed("v", "at"), "at", "left")

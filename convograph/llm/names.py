@@ -4,9 +4,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from heapq import heapify, heappop, heappush
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import Cuts
@@ -17,7 +18,7 @@ from .pii import learned_given, plain_letters
 
 # Legal forms and articles, which do not tell organisations apart.
 LEGAL = frozenset("company co corporation corp gmbh limited ltd incorporated inc llc plc ag kg sa sl srl spa bv nv oy ab the".split())
-WORDS = re.compile(r"[a-z]+(?:'[a-z]+)*")
+WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -119,17 +120,42 @@ class Reader:
         return " ".join(w for w in words if w not in LEGAL) or " ".join(words)
 
 
-def grams(text: str, n: int = 3) -> list[str]:
-    """The character n-grams of each word between its bounds."""
-    return sorted({f"^{w}$"[i:i + n] for w in text.split() for i in range(max(1, len(w) + 3 - n))})
+def grams(text: str) -> set[str]:
+    """The character trigrams of each word between its bounds."""
+    return {f"^{w}$"[i:i + 3] for w in text.split() for i in range(max(1, len(w) + 3 - 3))}
 
 
-def person_likeness(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
+def gapped(text: str) -> set[str]:
+    """Trigrams that may leave out a letter: three letters in order out of four neighbours of a word between its bounds. A swap or a
+    slip changes fewer of them than of plain trigrams."""
+    out = set()
+    for w in text.split():
+        w = f"^{w}$"
+        for i in range(len(w) - 2):
+            for j, k in ((1, 2), (1, 3), (2, 3)):
+                if i + k < len(w):
+                    out.add(w[i] + w[i + j] + w[i + k])
+    return out
+
+
+def name_grams(kind: str, spelling: str) -> list[str]:
+    """The n-grams of a whole normalised name. Of a person's these are gapped trigrams of the family name and plain ones of each given
+    name it may stand for, with the initial as one more, so that nicknames, initials and the order of parts cost little."""
+    if kind != "person":
+        return sorted(gapped(spelling))
+    family, given, initial = spelling.split("|")
+    first = {f"^{g[0]}" for g in given.split(",") if g} | ({f"^{initial}"} if initial else set())
+    return sorted(gapped(family)) + sorted("+" + g for g in grams(given.replace(",", " ")) | first)
+
+
+def person_likeness(a: tuple[str, str, str], b: tuple[str, str, str], times: int = 1) -> float:
+    """How far two people's names agree part by part; 0 if they cannot be one person's, however similar their letters. Family names
+    may differ by ``times`` the allowed edits."""
     fa, ga, ia = a
     fb, gb, ib = b
     if not fa or not fb:
         return 1.0 if a == b else 0.0
-    most = min(allowed(len(fa)), allowed(len(fb)))
+    most = times * min(allowed(len(fa)), allowed(len(fb)))
     d = edits(fa, fb, most)
     if d > most:
         return 0.0
@@ -142,7 +168,7 @@ def person_likeness(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
     return base * 0.85 if ia == ib else 0.0
 
 
-def word_likeness(a: str, b: str) -> float:
+def word_likeness(a: str, b: str, times: int = 1) -> float:
     if a == b:
         return 1.0
     s, t = sorted((a, b), key=len)
@@ -150,20 +176,21 @@ def word_likeness(a: str, b: str) -> float:
         rest = iter(t)
         if all(c in rest for c in s):
             return 0.95
-    most = min(allowed(len(a)), allowed(len(b)))
+    most = times * min(allowed(len(a)), allowed(len(b)))
     d = edits(a, b, most)
     return 1 - 0.1 * d if d <= most else 0.0
 
 
-def organisation_likeness(a: str, b: str) -> float:
+def organisation_likeness(a: str, b: str, times: int = 1) -> float:
+    """How far two organisations' names agree word by word; 0 if a word has no counterpart within ``times`` the allowed edits."""
     x, y = a.split(), b.split()
     if len(x) != len(y):
         # one word may be torn in two or two joined
         return 0.9 if a.replace(" ", "") == b.replace(" ", "") else 0.0
     total, left = 1.0, list(y)
     for w in sorted(x, key=lambda w: -len(w)):
-        best = max(left, key=lambda v: word_likeness(w, v))
-        total *= word_likeness(w, best)
+        best = max(left, key=lambda v: word_likeness(w, v, times))
+        total *= word_likeness(w, best, times)
         left.remove(best)
     return total
 
@@ -203,106 +230,143 @@ def read_names(named: DataFrame, given: frozenset[str]) -> DataFrame:
     return named.select("chat_id", "ref", "kind", "name").mapInArrow(run, NAMED).where("spelling not in ('', '||')").distinct()
 
 
-def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.25, block: int = 2000) -> DataFrame:
-    """(chat_id, kind, a, b): pairs of spellings of one chat whose n-gram vectors have a cosine of at least ``least``.
+def vectors(spellings: DataFrame, least: float, cuts: Cuts) -> DataFrame:
+    """(chat_id, kind, spelling, grams, norm, prefix): the n-gram vector of each spelling, weighted by rarity, and the n-grams of its prefix.
 
-    Vectors weigh n-grams by rarity. As in an all-pairs join with prefixes, a vector is only looked up by its rarest n-grams,
-    until what remains has a length of ``least / 2`` at most. All n-grams are ranked alike, so of two vectors the shorter prefix has every
-    shared n-gram that is rare enough, and the others add no more than the length of what remains of it: this bounds the cosine from
-    above, and no similar pair is lost. There is no cap on partners. Where an n-gram occurs more than
-    ``block`` times in a chat, its pairs are made block by block in different tasks."""
+    The weight of an n-gram is the logarithm of how rare it is among all names of its kind; below one in a thousand it no longer rises, so
+    that a slip, which makes n-grams nobody else has, does not outweigh what is left of the name. ``grams`` holds (n-gram, squared weight).
+    The prefix is the rarest n-grams, all ranked alike, up to where what remains is shorter than ``least``: two vectors
+    with a cosine of ``least`` share an n-gram of both prefixes, or all they share would lie in what remains of one."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            parts = [(s.split("|")[0] or s.split("|")[1].split(",")[0]) if k == "person" else s
-                     for k, s in zip(batch.column("kind").to_pylist(), batch.column("spelling").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chat_id", "kind", "spelling")), pa.array([grams(p) for p in parts], pa.list_(pa.string()))],
+            found = [name_grams(k, s) for k, s in zip(batch.column("kind").to_pylist(), batch.column("spelling").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chat_id", "kind", "spelling")), pa.array(found, pa.list_(pa.string()))],
                                              names=["chat_id", "kind", "spelling", "grams"])
 
     key = ["chat_id", "kind", "spelling"]
     g = cuts.cut(spellings.mapInArrow(run, "chat_id string, kind string, spelling string, grams array<string>")
-                 .select(*key, F.explode("grams").alias("gram")))
+                 .select(*key, F.explode(F.transform("grams", lambda g: F.xxhash64(g))).alias("gram")))
     df = g.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("df"))
-    n = spellings.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    weight = F.sqrt(F.log(1 + F.col("n") / F.col("df")))  # damped, as a slip makes rare n-grams
-    own = Window.partitionBy(*key)
-    running = own.orderBy(F.desc("w"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = (
-        g.join(df, ["kind", "gram"]).join(F.broadcast(n), "kind").withColumn("w", weight)
-        .withColumn("norm2", F.sum(F.col("w") * F.col("w")).over(own)).withColumn("run2", F.sum(F.col("w") * F.col("w")).over(running))
-        .withColumn("rest2", F.greatest(F.lit(0.0), 1 - F.col("run2") / F.col("norm2"))).withColumn("w", F.col("w") / F.sqrt("norm2"))
-        .where(F.col("rest2") + F.col("w") * F.col("w") > least * least / 4)
-        .withColumn("rest", F.sqrt(F.min("rest2").over(own)))
-    )
-    w = cuts.cut(w.select(*key, "gram", "w", "rest"))
-    busy = w.groupBy("chat_id", "kind", "gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    w = w.join(busy, ["chat_id", "kind", "gram"]).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    a = w.select("chat_id", "kind", "gram", F.col("spelling").alias("a"), F.col("w").alias("wa"), F.col("rest").alias("ra"),
-                 F.pmod(F.xxhash64("spelling"), F.col("blocks")).cast("int").alias("block"))
-    b = w.select("chat_id", "kind", "gram", F.col("spelling").alias("b"), F.col("w").alias("wb"), F.col("rest").alias("rb"),
-                 F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    n = spellings.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # two rows at most
+    weight = F.log(1 + F.col("n") / (F.col("df") + F.col("n") / 1000))
+    w = g.join(df, ["kind", "gram"]).join(F.broadcast(n), "kind").select(*key, F.struct((-weight * weight).alias("w"), "gram").alias("x"))
+    w = w.groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("x")).withColumn("norm2", F.aggregate("x", F.lit(0.0), lambda t, x: t - x["w"]))
+    # places from the end back, as long as what they add up to stays below the threshold
+    tail = F.aggregate(F.reverse("x"), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
+                       lambda t, x: F.when(t["sum"] - x["w"] < least * least * F.col("norm2"), F.struct((t["sum"] - x["w"]).alias("sum"), (t["n"] + 1).alias("n")))
+                       .otherwise(F.struct(F.col("norm2").alias("sum"), t["n"].alias("n"))))
+    return cuts.cut(w.select(*key, "x", F.sqrt("norm2").alias("norm"), F.slice("x", F.lit(1), F.greatest(F.lit(1), F.size("x") - tail["n"])).getField("gram").alias("prefix")))
+
+
+def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.4, block: int = 2000) -> DataFrame:
+    """(chat_id, kind, a, b, cosine): all pairs of spellings of one chat whose n-gram vectors have a cosine of at least ``least``.
+
+    A join by prefixes (see ``vectors``) finds the pairs that may reach it, and only these are compared in full. The n of the
+    top-n of a spelling is the number of its partners above the threshold: it differs between spellings, and none is cut off.
+    Where an n-gram occurs more than ``block`` times in a chat, its pairs are made block by block in different tasks."""
+    v = vectors(spellings, least, cuts)
+    key = ["chat_id", "kind", "gram"]
+    p = v.select("chat_id", "kind", "spelling", F.explode("prefix").alias("gram"))
+    busy = p.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    p = cuts.cut(p.join(busy, key).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).drop("m"))
+    a = p.select(*key, F.col("spelling").alias("a"), F.pmod(F.xxhash64("spelling"), F.col("blocks")).cast("int").alias("block"))
+    b = p.select(*key, F.col("spelling").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = a.join(b, [*key, "block"]).where("a < b").select("chat_id", "kind", "a", "b").distinct()
+    side = lambda c: v.select("chat_id", "kind", F.col("spelling").alias(c), F.col("x").alias(f"x_{c}"), F.col("norm").alias(f"n_{c}"))
+    dot = F.aggregate(F.array_intersect("x_a", "x_b"), F.lit(0.0), lambda t, x: t - x["w"])
+    cosine = dot / (F.col("n_a") * F.col("n_b"))
     return (
-        a.join(b, ["chat_id", "kind", "gram", "block"]).where("a < b").groupBy("chat_id", "kind", "a", "b")
-        .agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
-        .where(F.col("dot") + F.greatest("ra", "rb") >= least).select("chat_id", "kind", "a", "b")
+        pairs.join(side("a"), ["chat_id", "kind", "a"]).join(side("b"), ["chat_id", "kind", "b"])
+        .select("chat_id", "kind", "a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
     )
 
 
-def forms(word: str) -> set[str]:
-    """The word with up to as many letters left out as it may have edits: two words within the allowed edits share a form, as
-    an edit, also a swap, is undone by leaving out one letter on one or both sides."""
-    n = len(word)
-    return {"".join(c for i, c in enumerate(word) if i not in out) for k in range(allowed(n) + 1) for out in combinations(range(n), k)}
-
-
-def near_people(spellings: DataFrame) -> DataFrame:
-    """(chat_id, kind, a, b): all pairs of people's spellings of one chat that ``person_likeness`` may accept though family names
-    differ, as few n-grams as they may share. Family names meet in a form, and under a letter that their given names begin with or that is their initial."""
+def likeness(pairs: DataFrame, least: float) -> DataFrame:
+    """(chat_id, kind, a, b, s) of the similar pairs whose parts agree: given names that may be one person's, family names within the
+    allowed edits, a counterpart for each word of an organisation. ``s`` is the cosine. Two variants of one name may lie twice the
+    allowed edits apart; such a pair speaks for clusters that others link, with a cosine kept under ``least``, but cannot link two by itself.
+    What the check refuses is left out."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        under = np.nextafter(least, 0)
         for batch in batches:
-            rows = []
-            for chat, spelling in zip(batch.column("chat_id").to_pylist(), batch.column("spelling").to_pylist(), strict=True):
-                family, given, initial = spelling.split("|")
-                if allowed(len(family)):
-                    rows += [(chat, spelling, family, x) for x in ({g[0] for g in given.split(",")} if given else {initial})]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["chat_id", "spelling", "family", "letter"])
-
-    def spread(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+            s = []
+            for k, a, b, c in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "cosine")), strict=True):
+                agree, x, y = (person_likeness, tuple(a.split("|")), tuple(b.split("|"))) if k == "person" else (organisation_likeness, a, b)
+                s.append(c if agree(x, y) > 0 else min(c, under) if agree(x, y, 2) > 0 else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(s, pa.float64())], names=["chat_id", "kind", "a", "b", "s"])
+
+    return pairs.select("chat_id", "kind", "a", "b", "cosine").mapInArrow(run, "chat_id string, kind string, a string, b string, s double").where("s > 0")
+
+
+def link_in_memory(links: list[tuple[str, str, float]], least: float) -> dict[str, str]:
+    """Average linkage of one connected group, pair by pair from the most alike: {member: cluster} of the members that have a link."""
+    near: dict[str, dict[str, float]] = {}
+    for a, b, s in links:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = s
+    size, of = dict.fromkeys(near, 1), {x: [x] for x in near}
+    heap = [(-s, *sorted((a, b))) for a, b, s in links if s >= least]
+    heapify(heap)
+    while heap:
+        m, a, b = heappop(heap)
+        # a pair that has merged or changed since is passed over
+        if b not in near.get(a, ()) or -m != near[a][b] / (size[a] * size[b]):
+            continue
+        for c, s in near.pop(b).items():
+            del near[c][b]
+            if c != a:
+                near[a][c] = near[c][a] = near[a].get(c, 0.0) + s
+        size[a] += size.pop(b)
+        of[a] += of.pop(b)
+        for c, s in near[a].items():
+            if (mean := s / (size[a] * size[c])) >= least:
+                heappush(heap, (-mean, *sorted((a, c))))
+    return {x: c for c, xs in of.items() for x in xs}
+
+
+def average_linkage(links: DataFrame, least: float, cuts: Cuts, most_links: int = 50_000) -> DataFrame:
+    """(member, cluster) of all members of links (a, b, s), a < b; pairs without a link have likeness 0.
+
+    Clusters never reach beyond a connected group, so groups are worked on apart. One of at most ``most_links`` links is linked by
+    the task that reads its rows; a larger one by ``linkage_rounds``, with the same result."""
+    group = group_matches(links.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.lit(1.0).alias("score")), levels=0)
+    known = links.join(group.withColumnRenamed("node_id", "a"), "a").select("group_id", "a", "b", "s")
+    known = cuts.cut(known)
+    large = known.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_links).select("group_id")
 
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("of"), batch.column("bucket"), pa.array([sorted(forms(f)) for f in batch.column("family").to_pylist()], pa.list_(pa.string()))],
-                                             names=["of", "bucket", "forms"])
-
-    named = spellings.where("kind = 'person'").select("chat_id", "spelling").mapInArrow(run, "chat_id string, spelling string, family string, letter string")
-    named = named.withColumn("bucket", F.xxhash64("chat_id", "letter")).withColumn("of", F.xxhash64("bucket", "family"))
-    form = named.groupBy("of").agg(F.first("family").alias("family"), F.first("bucket").alias("bucket"))
-    keys = form.select("of", "bucket", "family").mapInArrow(spread, "of long, bucket long, forms array<string>")
-    keys = keys.select("of", F.explode("forms").alias("form"), "bucket").select("of", F.xxhash64("bucket", "form").alias("key"))
-    met = keys.withColumnRenamed("of", "x").join(keys.withColumnRenamed("of", "y"), "key").where("x < y").select("x", "y").distinct()
-    side = lambda c: named.select(F.col("of").alias(c), "chat_id", F.col("spelling").alias(f"s_{c}"))
-    return met.join(side("x"), "x").join(side("y").drop("chat_id"), "y").where("s_x <> s_y").select(
-        "chat_id", F.lit("person").alias("kind"), F.least("s_x", "s_y").alias("a"), F.greatest("s_x", "s_y").alias("b"))
-
-
-def likeness(pairs: DataFrame) -> DataFrame:
-    """Adds ``s``, how well the parts of two spellings agree, from 0 to 1; pairs with 0 are left out."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            s = [person_likeness(tuple(a.split("|")), tuple(b.split("|"))) if k == "person" else organisation_likeness(a, b)
-                 for k, a, b in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "s"])
-
-    return pairs.mapInArrow(run, "chat_id string, kind string, a string, b string, s double").where("s > 0")
+        def ended(now: list) -> tuple[list, list]:
+            got = sorted(link_in_memory(now, least).items())
+            return [x for x, _ in got], [y for _, y in got]
 
-
-def average_linkage(links: DataFrame, least: float, cuts: Cuts) -> DataFrame:
-    """(member, cluster) of the members that merge, from links (a, b, s), a < b; pairs without a link have likeness 0.
+        last, now = None, []
+        for batch in batches:
+            members, clusters = [], []
+            for g, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("group_id", "a", "b", "s")), strict=True):
+                if g != last:
+                    x, y = ended(now)
+                    members += x
+                    clusters += y
+                    last, now = g, []
+                now.append((a, b, s))
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.string()), pa.array(clusters, pa.string())], names=["member", "cluster"])
+        x, y = ended(now)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string())], names=["member", "cluster"])
+
+    small = known.join(large, "group_id", "left_anti").repartition("group_id").sortWithinPartitions("group_id")
+    out = small.mapInArrow(run, "member string, cluster string")
+    if large.take(1):
+        out = out.unionByName(linkage_rounds(known.join(large, "group_id", "left_semi").select("a", "b", "s"), least, cuts))
+    return cuts.cut(out)
+
+
+def linkage_rounds(links: DataFrame, least: float, cuts: Cuts) -> DataFrame:
+    """(member, cluster) as ``average_linkage``, for groups of any size.
 
     Average linkage may merge all pairs of clusters that are each other's nearest at once without changing the result, so each
     round is a few joins over the links between clusters, whatever a group's size; rounds end when no
@@ -330,28 +394,30 @@ def average_linkage(links: DataFrame, least: float, cuts: Cuts) -> DataFrame:
         edges, owner = after, moved
 
 
-def link_names(messages: DataFrame, nodes: DataFrame, candidates: DataFrame, least: float = 0.5) -> DataFrame:
+def link_names(messages: DataFrame, nodes: DataFrame, candidates: DataFrame, least: float = 0.4, near: float = 0.3) -> DataFrame:
     """(chat_id, ref, entity): records of people and organisations with the entity they belong to; entity is
     comparable within a chat only. Spellings of one record, and records of one spelling, belong together; other
-    spellings are compared by parts where their n-gram vectors are similar, people's wherever they may agree, and grouped by average linkage."""
+    spellings are compared by the cosine of their n-gram vectors where it is ``near`` or more and their parts agree, and grouped by
+    average linkage over these cosines, cut at ``least``."""
     cuts = Cuts(messages.sparkSession, "names")
     named = cuts.cut(read_names(records(messages, nodes, candidates), learned_given(nodes)))
     spellings = named.select("chat_id", "kind", "spelling").distinct()
-    scored = likeness(similar_spellings(spellings, cuts).union(near_people(spellings)).distinct())
     ident = lambda c: F.concat_ws("\u0001", "chat_id", "kind", c)
+    scored = cuts.cut(likeness(similar_spellings(spellings, cuts, near), least).select(ident("a").alias("a"), ident("b").alias("b"), "s"))
+    cuts.keep(named, scored)
     # spellings that share a record are one item, however they differ
     first = named.groupBy("chat_id", "ref", "kind").agg(F.min("spelling").alias("a"))
     same = named.join(first, ["chat_id", "ref", "kind"]).where("a <> spelling").select(
         ident("a").alias("a_id"), ident("spelling").alias("b_id"), F.lit(1.0).alias("score")).distinct()
-    item = cuts.cut(group_matches(same))
+    item = group_matches(same, levels=0)
     of = lambda x: item.select(F.col("node_id").alias(x), F.col("group_id").alias(f"item_{x}"))
     links = (
-        scored.select(ident("a").alias("a"), ident("b").alias("b"), "s").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        scored.join(of("a"), "a", "left").join(of("b"), "b", "left")
         .select(F.coalesce("item_a", "a").alias("x"), F.coalesce("item_b", "b").alias("y"), "s").where("x <> y")
         .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("s").alias("s"))
     )
     cluster = average_linkage(cuts.cut(links), least, cuts)
-    return (
+    return cuts.finish(
         named.withColumn("spelt", ident("spelling")).join(of("spelt"), "spelt", "left").withColumn("member", F.coalesce("item_spelt", "spelt"))
         .join(cluster, "member", "left").groupBy("chat_id", "ref").agg(F.min(F.coalesce("cluster", "member")).alias("entity"))
     )

@@ -3,7 +3,7 @@ import pytest
 
 from convograph.lineage import Cuts
 from convograph.llm.given_names import short_forms
-from convograph.llm.names import Reader, average_linkage, edits, likeness, link_names, near_people, organisation_likeness, person_likeness, same_entity_pairs, similar_spellings, grams
+from convograph.llm.names import Reader, average_linkage, edits, likeness, link_in_memory, link_names, linkage_rounds, name_grams, organisation_likeness, person_likeness, same_entity_pairs, similar_spellings, vectors
 
 R = Reader(frozenset(short_forms()))
 
@@ -30,39 +30,46 @@ def test_edits():
     assert edits("abcd", "abdc", 2) == 1 and edits("abc", "abxyc", 2) == 2 and edits("abc", "xyz", 2) == 3 and edits("", "ab", 2) == 2
 
 
-def test_prefix_join_loses_no_similar_pair(spark):
+def cosines(words, kind):
+    n, df = len(words), {}
+    for w in words:
+        for g in name_grams(kind, w):
+            df[g] = df.get(g, 0) + 1
+    v = {w: {g: np.log(1 + n / (df[g] + n / 1000)) for g in name_grams(kind, w)} for w in words}
+    norm = {w: np.sqrt(sum(x * x for x in v[w].values())) for w in words}
+    return {(a, b): sum(v[a][g] * v[b].get(g, 0) for g in v[a]) / norm[a] / norm[b] for a in words for b in words if a < b}
+
+
+@pytest.mark.parametrize("kind", ["org", "person"])
+def test_prefix_join_finds_all_similar_pairs_and_cuts(spark, kind):
     rng = np.random.default_rng(4)
     syllables = ["ba", "ko", "mi", "ter", "lan", "zu", "fe", "go"]
     words = sorted({"".join(rng.choice(syllables, 4)) for _ in range(150)})
-    df = spark.createDataFrame([("c", "org", w) for w in words], "chat_id string, kind string, spelling string")
+    if kind == "person":
+        words = sorted(f"{w}|{g}|{i}" for w in words for g, i in [[("robert", ""), ("samantha,samuel", ""), ("", "r")][int(rng.integers(0, 3))]])
+    df = spark.createDataFrame([("c", kind, w) for w in words], "chat_id string, kind string, spelling string")
+    want = {k: x for k, x in cosines(words, kind).items() if x >= 0.5}
     for block in (5, 2000):
-        got = {(r.a, r.b) for r in similar_spellings(df, Cuts(spark, "t"), 0.5, block).collect()}
-        df_ = {}
-        for w in words:
-            for g in grams(w):
-                df_[g] = df_.get(g, 0) + 1
-        v = {w: {g: np.sqrt(np.log(1 + len(words) / df_[g])) for g in grams(w)} for w in words}
-        norm = {w: np.sqrt(sum(x * x for x in v[w].values())) for w in words}
-        want = {(a, b) for a in words for b in words if a < b and sum(v[a][g] * v[b].get(g, 0) for g in v[a]) / norm[a] / norm[b] >= 0.5 + 1e-9}
-        assert want <= got
-
-
-def test_no_pair_of_people_is_lost(spark):
-    rng = np.random.default_rng(5)
-    words = ["kizukiin", "kiuzkini", "faseimfi", "fssemifi", "heepvorer", "hepevoer", "weber", "wbeer", "meyer", "meier", "silva", "sliva", "abc", "acb"]
-    for w in list(words):
-        for _ in range(4):
-            at = int(rng.integers(0, len(w) - 1))
-            words += [w[:at] + w[at + 1] + w[at] + w[at + 2:], w[:at] + w[at + 1:], w[:at] + "q" + w[at:], w[:at] + "z" + w[at + 1:]]
-    who = [("robert", ""), ("bob,robert", ""), ("farida", ""), ("", "r"), ("", "b"), ("", "")]
-    rows = sorted({("c", "person", f"{w}|{g}|{i}") for w in words for g, i in who})
-    df = spark.createDataFrame(rows, "chat_id string, kind string, spelling string")
-    pairs = similar_spellings(df, Cuts(spark, "t")).union(near_people(df)).distinct()
-    got = {(r.a, r.b): r.s for r in likeness(pairs).collect()}
-    part = {s: tuple(s.split("|")) for _, _, s in rows}
-    want = {(a, b): x for a in part for b in part if a < b and (x := person_likeness(part[a], part[b]))}
-    assert got == want and ("kiuzkini|robert|", "kizukiin|robert|") in got and ("wbeer|robert|", "weber|robert|") in got
-    assert near_people(df.limit(0)).count() == 0
+        got = {(r.a, r.b): r.cosine for r in similar_spellings(df, Cuts(spark, "t"), 0.5, block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    v = vectors(df, 0.5, Cuts(spark, "t")).collect()
+    # no longer prefix than needed: without its last n-gram what remains would reach the threshold
+    for r in v:
+        w2 = [-x.w for x in r.x]
+        assert sum(w2[len(r.prefix):]) < 0.25 * r.norm**2 + 1e-9 <= sum(w2[len(r.prefix) - 1:]) + 2e-9
+    assert sum(len(r.prefix) for r in v) < 0.85 * sum(len(r.x) for r in v)
+
+
+def test_the_check_bridges_but_does_not_link(spark):
+    rows = [("c", "person", "fapaloi|edward|", "fapakobi|edward|", 0.7), ("c", "person", "fapalobi|edward|", "fapakobi|edward|", 0.7), ("c", "person", "fapalobi|edward|", "fapalobi|farida|", 0.9),
+            ("c", "org", "dolani bakery", "dolani foundation", 0.8), ("c", "org", "dolani bakery", "dolaini bakery", 0.8)]
+    got = {(r.a, r.b): r.s for r in likeness(spark.createDataFrame(rows, "chat_id string, kind string, a string, b string, cosine double"), 0.4).collect()}
+    assert got.pop(("fapaloi|edward|", "fapakobi|edward|")) < 0.4
+    assert got == {("fapalobi|edward|", "fapakobi|edward|"): 0.7, ("dolani bakery", "dolaini bakery"): 0.8}
+
+
+def test_names_in_other_scripts():
+    assert R.person("Иван Петров")[0] and R.person("王小明")[0] and person_likeness(R.person("Иван Петров"), R.person("иван  ПЕТРОВ")) > 0
 
 
 def linkage_model(links, least):
@@ -75,14 +82,22 @@ def linkage_model(links, least):
         groups = [g for g in groups if g not in best[1:]] + [best[1] | best[2]]
 
 
-def test_average_linkage_equals_one_at_a_time(spark):
+@pytest.mark.parametrize("way", ["memory", "rounds", "groups"])
+def test_average_linkage_equals_one_at_a_time(spark, way):
     rng = np.random.default_rng(9)
-    links = sorted({(f"n{a:02}", f"n{b:02}") for a, b in rng.integers(0, 24, (70, 2)) if a < b})
+    links = sorted({(f"n{a:02}", f"n{b:02}") for a, b in rng.integers(0, 24, (70, 2)) if a < b} | {("x", "y"), ("y", "z")})
     links = [(a, b, float(x)) for (a, b), x in zip(links, rng.permutation(len(links)) / len(links) * 0.6 + 0.4)]
+    if way == "memory":
+        pairs = link_in_memory(links, 0.5).items()
+    else:
+        df = spark.createDataFrame(links, "a string, b string, s double")
+        out = linkage_rounds(df, 0.5, Cuts(spark, "t")) if way == "rounds" else average_linkage(df, 0.5, Cuts(spark, "t"), most_links=2)
+        pairs = [tuple(r) for r in out.select("member", "cluster").collect()]
     got = {}
-    for r in average_linkage(spark.createDataFrame(links, "a string, b string, s double"), 0.5, Cuts(spark, "t")).collect():
-        got.setdefault(r.cluster, set()).add(r.member)
+    for member, cluster in pairs:
+        got.setdefault(cluster, set()).add(member)
     assert set(map(frozenset, got.values())) == linkage_model(links, 0.5)
+    assert all(c == min(ms) for c, ms in got.items())
 
 
 def test_records_of_a_chat(spark):
