@@ -58,3 +58,20 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     areas = spark.createDataFrame([("law", "Law")], "subject string, title string")
     assert assign_subjects(df, areas).count() == 0 and assign_subjects(df, areas.limit(0)).agg(F.count("*")).first()[0] == 0
+
+
+def test_a_subject_nobody_inspected(spark):
+    r = random.Random(12)
+    words = {"astrology": "zodiac ascendant horoscope quincunx retrograde cusp natal trine".split(), "knots": "bowline halyard splice hitch becket lashing grommet toggle".split()}
+    rows = []
+    for i in range(200):
+        s = r.choice([*words, None])
+        said = [f"nobody agreed on the {a} but the {b} was clear" for _ in range(5) for a, b in [r.sample(words[s], 2)]] if s else r.choices(CHAT, k=6)
+        rows.append((i, ". ".join(said), s))
+    df = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    areas = spark.createDataFrame([(s, s) for s in words], "subject string, title string")
+    labels = spark.createDataFrame([(i, s) for i, _, s in rows[:40] if s], "doc_id long, subject string")
+    got = {(x.doc_id, x.subject) for x in assign_subjects(df, areas, labels).collect()}
+    want = {(i, s) for i, _, s in rows if s}
+    assert len(got & want) >= 0.97 * max(len(got), len(want))
+    assert assign_subjects(df, areas.limit(0), labels).count() == 0
