@@ -47,10 +47,11 @@ class Cuts:
         self._jvm, self._conf = sc._jvm, sc._jsc.hadoopConfiguration()
         atexit.register(_delete_at_exit, self._jvm, self._conf, self.folder)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Writes a table and returns its scan; with ``by``, in a folder for each value of that column, so that a filter on it reads these only."""
         path = f"{self.folder}/{self.count}"
         self.count += 1
-        df.write.option("compression", "lz4").parquet(path)
+        df.write.option("compression", "lz4").parquet(path, partitionBy=by)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables[id(out)] = path, out
         return out

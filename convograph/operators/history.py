@@ -1,6 +1,9 @@
 """History of changing attributes, kept up snapshot by snapshot through a Merkle comparison."""
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +88,16 @@ def versions(facts: DataFrame, hot_rows: int = 500_000) -> DataFrame:
     )
 
 
+def bucket_of(fan: int, depth: int) -> Column:
+    return F.pmod(F.xxhash64(*SUBJECT), F.lit(fan**depth))
+
+
+def depth_for(subjects: int, fan: int, subjects_a_leaf: int = 1000) -> int:
+    """Levels of a tree whose leaves hold about ``subjects_a_leaf`` subjects each: with more subjects it has more leaves, so that a
+    change still touches few of the rows."""
+    return max(1, math.ceil(math.log(max(1, subjects / subjects_a_leaf), fan)))
+
+
 def leaf_hashes(facts: DataFrame, fan: int, depth: int) -> DataFrame:
     """The lowest level of a snapshot's Merkle tree: a subject's bucket is a hash
     of its key, and a bucket's hash does not depend on the order of its rows. The table has
@@ -92,7 +105,7 @@ def leaf_hashes(facts: DataFrame, fan: int, depth: int) -> DataFrame:
     keeps a hot bucket from gathering in one task."""
     row = F.xxhash64(*FACT, "valid_to", "created", "edge_no")
     return (
-        facts.groupBy(F.pmod(F.xxhash64(*SUBJECT), F.lit(fan**depth)).alias("bucket"))
+        facts.groupBy(bucket_of(fan, depth).alias("bucket"))
         .agg(F.bit_xor(row).alias("__x"), F.sum(F.shiftrightunsigned(row, 20)).alias("__s"), F.count(F.lit(1)).alias("__n"))
         .select("bucket", F.xxhash64("__x", "__s", "__n").alias("hash"))
     )
@@ -123,47 +136,87 @@ def changed_buckets(old: DataFrame, new: DataFrame, fan: int, depth: int) -> Dat
     return differing.withColumnRenamed("__at", "bucket")
 
 
-def keep_history(edges: DataFrame, kinds: DataFrame, snapshots: int = 3, fan: int = 16, depth: int = 3) -> DataFrame:
+STATE = [*FACT, "valid_to", "created", "edge_no"]
+VERSION = [*SUBJECT, "version_no", "target_id", "valid_from_us", "valid_to_us"]
+
+
+@dataclass
+class History:
+    """What is kept between snapshots: the facts of the last one in a folder for each branch of the root, its leaf hashes, and the log, tables
+    of versions that are only ever added to. Of a subject the rows with the highest ``seq`` count; one row without a version
+    number tells that its facts are gone."""
+
+    facts: DataFrame
+    leaves: DataFrame
+    log: list[DataFrame]
+    fan: int
+    depth: int
+
+    def versions(self, cuts: Cuts) -> DataFrame:
+        """The history as of the last snapshot."""
+        log = cuts.read(self.log)
+        if len(self.log) == 1:
+            return log.select(*VERSION)
+        last = log.groupBy(*SUBJECT).agg(F.max("seq").alias("__seq"))
+        return log.join(prefixed(last, SUBJECT), on_keys(SUBJECT) & (F.col("seq") == F.col("__seq"))).where("version_no is not null").select(*VERSION)
+
+
+def advance(state: History | None, snapshot: DataFrame, cuts: Cuts, fan: int = 16, depth: int | None = None) -> History:
+    """The history after one more snapshot (facts as ``resolve_facts`` gives them).
+
+    The snapshot is written once, by branch, and hashed into leaves, which are compared with those of the last one from the root down. Only in
+    leaves that differ are rows of either side read and diffed, and only the subjects found there get new versions, added to the
+    log as a table of their own; nothing written before is read for it or written again. The first snapshot starts the log; the tree's depth
+    follows its number of subjects unless given, and stays."""
+    if state:
+        fan, depth = state.fan, state.depth
+    elif depth is None:
+        depth = depth_for(snapshot.agg(F.approx_count_distinct(F.xxhash64(*SUBJECT))).first()[0], fan)
+    branch = F.floor(F.col("bucket") / fan ** (depth - 1)).cast("int")
+    now = cuts.cut(snapshot.select(*STATE, bucket_of(fan, depth).alias("bucket")).withColumn("branch", branch), by="branch")
+    leaves = cuts.cut(leaf_hashes(now, fan, depth))
+    if state is None:
+        return History(now, leaves, [cuts.cut(versions(now).withColumn("seq", F.lit(0)))], fan, depth)
+    buckets = cuts.cut(changed_buckets(state.leaves, leaves, fan, depth))
+    branches = [r.branch for r in buckets.select(branch.alias("branch")).distinct().collect()]  # fan at most
+    if not branches:
+        return History(now, leaves, state.log, fan, depth)
+    within = lambda x: x.where(F.col("branch").isin(branches)).join(F.broadcast(buckets), "bucket", "left_semi")
+    side = lambda x, n: within(x).select(*STATE, F.lit(n).alias("__side"))
+    # a row of both sides is unchanged; one of either side marks its subject
+    subjects = cuts.cut(
+        side(state.facts, 1).union(side(now, 2)).groupBy(*STATE)
+        .agg(F.sum("__side").alias("__s")).where("__s <> 3").select(*SUBJECT).distinct()
+    )
+    anew = cuts.cut(versions(within(now).join(subjects, SUBJECT, "left_semi")))
+    gone = subjects.join(anew, SUBJECT, "left_anti").select(*SUBJECT, *[F.lit(None).cast(anew.schema[c].dataType).alias(c) for c in VERSION[len(SUBJECT):]])
+    part = cuts.cut(anew.unionByName(gone).withColumn("seq", F.lit(len(state.log))))
+    cuts.drop(buckets, subjects, anew)
+    return History(now, leaves, [*state.log, part], fan, depth)
+
+
+def keep_history(edges: DataFrame, kinds: DataFrame, snapshots: int = 3, fan: int = 16, depth: int | None = None) -> DataFrame:
     """The versions of every single-valued relationship, built from periodic snapshots.
 
     A snapshot holds the facts as known at one time: the rows up to a quantile of
-    ``updated_at``. Each is compared with the one before through Merkle trees over buckets
-    of subjects; only in leaf buckets that differ are rows diffed, and only the subjects found
-    there get their versions written anew, the others keep theirs. After the last snapshot,
-    which has all rows, the history is that of the whole table. More than one snapshot
-    repeats the work on subjects that changed between them, as a scheduled run would.
+    ``updated_at``, the last one all rows. ``advance`` takes the history from each to the next, as a scheduled run
+    would; the result does not depend on the number of snapshots.
 
     Columns: chat_id, source_id, relationship_name, version_no from 1, target_id,
     valid_from_us, valid_to_us (-1 if open). An empty table gives no rows; further
     columns of the inputs are ignored; repeated rows change nothing."""
-    spark = edges.sparkSession
-    cuts = Cuts(spark, "history")
+    cuts = Cuts(edges.sparkSession, "history")
     rows = edges.select("chat_id", "source_id", "target_id", "relationship_name", "valid_at", "invalid_at",
                         "created_at", "updated_at", "edge_no")
     grid = [i / snapshots for i in range(1, snapshots)]
     times = (rows.agg(F.percentile_approx(F.unix_micros("updated_at"), grid, 1000)).first()[0] if grid else None) or []
-    facts = history = leaves = None
+    depth = depth or depth_for(rows.agg(F.approx_count_distinct(F.xxhash64("chat_id", "source_id"))).first()[0], fan)
+    state = None
     for upto in [*sorted(set(times)), None]:
         # rows without updated_at are as old as can be: max_by ranks a null lowest as well
         known = rows if upto is None else rows.where(F.unix_micros("updated_at").isNull() | (F.unix_micros("updated_at") <= upto))
-        now = cuts.cut(resolve_facts(known, kinds))
-        tree = cuts.cut(leaf_hashes(now, fan, depth))
-        if facts is None:
-            written = cuts.cut(versions(now))
-        else:
-            buckets = cuts.cut(changed_buckets(leaves, tree, fan, depth))
-            bucket = F.pmod(F.xxhash64(*SUBJECT), F.lit(fan**depth)).alias("bucket")
-            state = [*FACT, "valid_to", "created", "edge_no"]
-            within = lambda x: x.select("*", bucket).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")  # noqa: B023, E731
-            side = lambda x, n: within(x).select(*state, F.lit(n).alias("__side"))
-            # a row of both sides is unchanged; one of either side marks its subject
-            subjects = cuts.cut(
-                side(facts, 1).union(side(now, 2)).groupBy(*state)
-                .agg(F.sum("__side").alias("__s")).where("__s <> 3").select(*SUBJECT).distinct()
-            )
-            anew = versions(now.join(subjects, SUBJECT, "left_semi"))
-            written = cuts.cut(history.join(subjects, SUBJECT, "left_anti").unionByName(anew))
-            cuts.drop(facts, leaves, buckets, subjects, history)
-        facts, leaves, history = now, tree, written
-    cuts.drop(facts, leaves)
-    return history
+        before, state = state, advance(state, resolve_facts(known, kinds), cuts, fan, depth)
+        if before:
+            cuts.drop(before.facts, before.leaves)
+    cuts.drop(state.facts, state.leaves)
+    return state.versions(cuts)

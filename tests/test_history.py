@@ -103,3 +103,33 @@ def test_empty_and_nulls(spark):
     rows = [("c", "s", "t", "lives_in", 1, None, None, None, 1, None, None), (None, "s", "t", "lives_in", 1, None, 0, 0, 2, None, None),
             ("c", "s", "t", None, 1, None, 0, 0, 3, None, None), ("c", "s", "t", "lives_in", None, None, 0, 0, 4, None, None)] * 2
     assert got(history.keep_history(frame(spark, rows), kinds)) == {("c", "s", "lives_in", 1, "t", us(1), -1)}
+
+
+def test_advance_appends_and_reads_changed_branches_only(spark):
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    from convograph.lineage import Cuts
+
+    kinds = spark.createDataFrame(KINDS, "relationship_name string, single_value boolean")
+    rows = [("c", f"s{n}", "p", "lives_in", 1, None, 0, 0, n, "z", "z") for n in range(60)]
+    changed = [(*x[:2], "q" if x[8] == 3 else "p", *x[3:]) for x in rows if x[8] != 17]
+    cuts = Cuts(spark, "t")
+    first = history.advance(None, history.resolve_facts(frame(spark, rows), kinds), cuts, fan=16, depth=2)
+    branch = F.floor(history.bucket_of(16, 2) / 16)
+    touched = {r[0] for r in frame(spark, [rows[3], rows[17]]).withColumn("relationship_name", F.lit("lives_in")).select(branch).collect()}
+    path = cuts.tables[id(first.facts)][0].removeprefix("file:")
+    for k in set(range(16)) - touched:
+        shutil.rmtree(f"{path}/branch={k}", ignore_errors=True)
+    second = history.advance(first, history.resolve_facts(frame(spark, changed), kinds), cuts)
+    assert got(second.versions(cuts)) == model(changed)
+    assert second.log[0] is first.log[0] and {(r.source_id, r.version_no, r.target_id) for r in second.log[1].collect()} == {("s3", 1, "q"), ("s17", None, None)}
+    third = history.advance(second, history.resolve_facts(frame(spark, changed), kinds), cuts)
+    assert third.log is second.log
+    last = history.advance(third, history.resolve_facts(frame(spark, rows), kinds), cuts)
+    assert got(last.versions(cuts)) == model(rows)
+
+
+def test_depth_follows_the_subjects():
+    assert [history.depth_for(n, 16) for n in (0, 900, 16_000, 17_000, 10**9)] == [1, 1, 1, 2, 5]
