@@ -80,6 +80,17 @@ Yusuke: Yu Yuu
 Zachary: Zach Zak Zack
 Zoë: Zo
 """
+# Further given names that are common in the countries of the languages read here. Names that are common words as well are left out.
+COMMON = """
+Abdullah Abigail Adam Adriana Agnieszka Ahmed Aisha Akira Alejandro Aleksandra Ali Alice Amélie Amina Anders Andrea Andrei Anita Anna Anton Antonio Arjun
+Arturo Astrid Barbara Bartosz Bernd Birgit Boris Brigitte Camila Carlos Carmen Carolina Cecilia Chiara Chinedu Claire Claudia Clara Cristina Deepak Denise Diego
+Dieter Dominik Elena Emil Emily Emma Enrique Erik Esther Eva Fabian Fatima Felipe Fernando Florian Franz Frederik Gareth Georg Gerhard Gonzalo Grzegorz Guillermo
+Gustavo Hannah Hans Hassan Heike Heinz Helena Helga Hiroshi Hugo Ibrahim Igor Irina Isabel Isabella Ivan Jakob Jana Javier Jennifer Jessica Joana Joaquim Jorge José
+Juan Juliette Karim Karin Karl Katarzyna Kenji Khadija Klaus Krzysztof Lars Laura Leila Lena Léa Lorenzo Louise Luca Lucas Ludmila Luis Luisa Magdalena Manuel Marcelo Marco
+Margarita María Marie Mario Marta Martin Martina Mateo Matthias Maximilian Mehmet Miguel Mikhail Mohamed Mohammed Monika Mustafa Nadia Natalia Nathalie Nikita Nina Noah
+Olga Oliver Olivia Omar Oscar Pablo Paolo Pascal Patrick Paul Paulo Pavel Pedro Peter Petra Philipp Pierre Piotr Priya Rafael Rahul Ramón Ricardo Roberto Rodrigo Rosa Sabine
+Sakura Salma Sandra Santiago Sara Sebastian Sergei Sergio Silvia Simon Sofia Sonja Stefan Svetlana Takeshi Tatiana Teresa Ursula Vladimir Wei Werner Wolfgang Xavier Yasmin Yuki Yusuf
+"""
 # Titles before a name.
 TITLES = "mr mrs ms miss dr prof professor sir herr frau mme mlle señor señora sr sra sig dott".split()
 # Particles between a given and a family name.
@@ -92,6 +103,12 @@ def plain(word: str) -> str:
     return "".join(c for c in s if not unicodedata.combining(c))
 
 
+@lru_cache(1)
+def known_given() -> frozenset[str]:
+    """All listed given names and short forms in plain letters."""
+    return frozenset(map(plain, COMMON.split())) | frozenset(short_forms())
+
+
 @lru_cache(1)
 def short_forms() -> dict[str, frozenset[str]]:
     """Plain form of a name or short form: the plain full names it may stand for."""

@@ -57,23 +57,23 @@ class Reader:
                 self.by_length.setdefault(len(g), []).append(g)
         self.near = lru_cache(200_000)(self._near)
 
-    def _near(self, word: str) -> str | None:
-        """The given name that a word misspells, if it is close to one."""
+    def _near(self, word: str) -> tuple[str, ...]:
+        """The given names that a word may misspell: itself if it is one, otherwise all that are equally close."""
         if word in self.given:
-            return word
+            return (word,)
         if len(word) < 3:
-            return None
+            return ()
         most = 1 if len(word) < 8 else 2
-        best = None
+        best, found = most, []
         for n in range(len(word) - most, len(word) + most + 1):
             for g in self.by_length.get(n, ()):
                 if g[0] == word[0] or g[1:3] == word[1:3] or sorted(g[:2]) == sorted(word[:2]):
-                    d = edits(word, g, most)
+                    d = edits(word, g, best)
                     # of a short name only a doubled or swapped letter is taken for a slip
-                    slip = len(g) >= 5 or sorted(g) == sorted(word) or re.sub(r"(.)\1", r"\1", word) == g
-                    if d <= most and slip and (best is None or (d, g) < best):
-                        best = (d, g)
-        return best[1] if best else None
+                    if d <= best and (len(g) >= 5 or sorted(g) == sorted(word) or re.sub(r"(.)\1", r"\1", word) == g):
+                        found = [g] if d < best else [*found, g]
+                        best = d
+        return tuple(sorted(found))
 
     def standard(self, given: str) -> str:
         """A given name without what is only another way to write it: umlauts in two letters, a doubled letter."""
@@ -101,15 +101,16 @@ class Reader:
         words = [w for w in words if len(w) > 1]
         at = next((i for i, w in enumerate(words) if w in self.given), None)
         if at is None and (len(words) > 1 or len(words) == 1 and not letters):
-            near = [(edits(w, g, 3), i) for i, w in enumerate(words) if (g := self.near(w))] if len(words) > 1 else []
+            near = [(edits(w, g[0], 3), i) for i, w in enumerate(words) if (g := self.near(w))] if len(words) > 1 else []
             if near:
                 at = min(near)[1]
         if at is None and not letters and len(words) > 1:
             at = len(words) - 1 if "," in low else 0
         who: set[str] = set()
         if at is not None:
-            known = self.standard(self.near(words[at]) or words[at])
-            who = set(self.short.get(known, (known,)))
+            for g in self.near(words[at]) or (words[at],):
+                known = self.standard(g)
+                who.update(self.short.get(known, (known,)))
             words = words[:at] + words[at + 1:]
             letters = []
         return "".join(words), ",".join(sorted(who)), "".join(letters[:1])

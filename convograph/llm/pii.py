@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import Cuts
-from .given_names import PARTICLES, TITLES, plain, short_forms
+from .given_names import PARTICLES, TITLES, known_given, plain
 from .lookalikes import INVISIBLE, tables
 
 # ---------------------------------------------------------------- transducers
@@ -151,6 +151,25 @@ PHONE = re.compile(
     rf"|(?:1[-. ])?[2-9]\d{{2}}([-. ])[2-9]\d{{2}}\1\d{{4}}|[2-9]\d{{2}}[2-9]\d{{6}}){_end}"
 )
 DIGIT = re.compile(r"\d")
+# a version or build named by its day is no passport, and ten bare digits after such a word are no phone
+DATED = re.compile(r"[vbr](?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])")
+BARE_TEN = re.compile(r"[2-9]\d{9}")
+# Words before a number that counts or names something else than a phone.
+COUNTED = frozenset("ticket tickets order tracking ref reference case invoice receipt build item isbn sku serial parcel account log run window commit".split())
+ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+
+
+def is_account(text: str) -> bool:
+    """Whether a bank account number in international form has right check digits."""
+    t = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def is_phone(text: str, a: int, b: int) -> bool:
+    if not BARE_TEN.fullmatch(text, a, b):
+        return True
+    before = re.findall(r"[^\W\d_]+", text[max(0, a - 40):a])[-2:]
+    return COUNTED.isdisjoint(w.lower() for w in before)
 HAS_NUMBER = re.compile(r"\d(?:[^\d\n]{0,3}\d){5}")
 
 # Kinds of streets, where a lower-case word is telling and where it needs a capital.
@@ -175,12 +194,25 @@ GERMAN = re.compile(
     r"(?<![\w-])(?:(?:[A-ZÄÖÜ][\w-]+ )?(?:Stra(?:ß|ss)e|Weg|Platz|Gasse|Allee|Damm|Ufer|STRASSE|WEG|PLATZ|GASSE|ALLEE)|"
     r"[^\W\d_][\w-]*(?:(?i:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee|damm|ufer|ring|steig)))\s?(?:Nr\.? ?)?\d{1,4}\s?[a-zA-Z]?(?![\w@]|[-./]\d)"
 )
-# What stands after "am" without being a street.
-NOT_PLACES = ("montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonntag|abend|morgen|mittag|nachmittag|wochenende|ende|anfang|tag|januar|februar|märz|april|mai|juni|juli|"
-              "august|september|oktober|november|dezember")
-GERMAN_PLACE = re.compile(
-    rf"(?i)(?<![\w-])(?:am|im|an der|an den|in der|auf dem|auf der|zum|zur|unter den|hinter der) (?!(?:{NOT_PLACES})\b)[^\W\d_][\w-]{{3,}} \d{{1,4}}[a-z]?(?=[,.;!?)]|\s|$)(?![-./]\d)"
-)
+# Compounds that end like a street but name something else that is numbered.
+NOT_GERMAN = frozenset("boxring ehering schlüsselring parkplatz sitzplatz arbeitsplatz stellplatz stehplatz tabellenplatz liegeplatz bauplatz umweg heimweg rückweg hinweg ausweg schulweg schleichweg".split())
+# Endings of nouns that places are named by; the noun alone is no street.
+PLACE_ENDS = ("berg bach feld felde hof markt tor park wald see graben garten gärten anger brunnen hang rain wall wiese wiesen kirche kirchhof mühle bahnhof bogen winkel acker heide tal sand stein "
+              "eck linden eichen buchen birken weiden tannen").split()
+GERMAN_PLACE = re.compile(r"(?i)(?<![\w-])(am|im|an der|an den|in der|auf dem|auf der|zum|zur|unter den|hinter der) ([^\W\d_][\w-]{3,}) \d{1,4}[a-z]?(?=[,.;!?)]|\s|$)(?![-./]\d)")
+POSTCODE = re.compile(r",? ?\d{5}\b")
+
+
+def german_places(text: str) -> Iterator[tuple[int, int]]:
+    """Streets named by where they lie, which only differ from other numbered things by the noun, by a capital inside a sentence, or
+    by a postcode behind."""
+    for m in GERMAN_PLACE.finditer(text):
+        word = m[2].lower()
+        inside = m[1][0].isupper() and m[2][0].isupper() and text[:m.start()].rstrip()[-1:] not in ("", ".", "!", "?", ":", "\n")
+        if inside or POSTCODE.match(text, m.end()) or any(word.endswith(e) and word != e for e in PLACE_ENDS):
+            yield m.start(), m.end()
+
+
 _link = r"(?:de la|de las|de los|del|de|da|do|das|dos|della|di)"
 ROMANCE = re.compile(
     rf"(?i)(?<![\w-])(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|carrera|carretera|ronda|rua|travessa|praça|largo|estrada|alameda|via|viale|piazza|corso)(?:(?<=[./]) ?| )"
@@ -198,12 +230,30 @@ STREET_WORDS = frozenset(
     + "calle c avenida avda av plaza paseo camino carrera carretera ronda rua travessa praça largo estrada alameda via viale piazza corso".split()
     + "rue impasse place chemin boulevard bd allée quai cours passage route ruelle square ул улица проспект пр переулок пер площадь бульвар наб шоссе".split()
 )
+BESIDE, ARTICLES = frozenset("an in auf unter".split()), frozenset("den der dem".split())
 STREET_ENDS = ("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "damm", "ufer", "ring", "steig")
 CJK_STREET = re.compile("[路街道巷弄丁]")
 
 
 def may_be_address(text: str, words: list[str]) -> bool:
-    return not STREET_WORDS.isdisjoint(words) or any(w.endswith(STREET_ENDS) for w in words) or bool(CJK_STREET.search(text))
+    return not STREET_WORDS.isdisjoint(words) or not BESIDE.isdisjoint(words) and not ARTICLES.isdisjoint(words) or any(w.endswith(STREET_ENDS) for w in words) or bool(CJK_STREET.search(text))
+
+
+# Kinds of streets in French, Italian, Spanish and Portuguese that are common words as well; their name needs a capital.
+UNSURE = frozenset("cours place passage route quai square ruelle via viale corso largo".split())
+# Nouns that make a street part of an organisation's name.
+NOT_TOWNS = frozenset("""bakery foundation hospital school university college clinic laboratories robotics engineering freight association society club choir band theatre
+cinema museum library church hotel restaurant cafe café bar pub shop store market festival project team council committee posters press records studio studios gallery brothers company""".split())
+
+
+def certain(m: re.Match) -> bool:
+    words = re.findall(r"[^\W\d_][\w'’-]*", m[0])
+    kind = next((i for i, w in enumerate(words) if w.lower() in UNSURE), None)
+    if kind is None:
+        return True
+    named = next((w for w in words[kind + 1:] if not re.fullmatch(r"(?i)de|la|las|los|del|da|do|das|dos|della|di|des|du|le|les|n|º|nº|no", w)), "")
+    # "via" is as common between a verb and a name
+    return named[:1].isupper() and (words[kind].lower() != "via" or words[kind][0].isupper())
 
 
 def addresses(text: str) -> Iterator[tuple[int, int]]:
@@ -217,19 +267,39 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         ended = m[0].endswith(".") and kind.capitalize() in FULL_KINDS  # by a sentence's point
         after = None if ended else re.compile(rf" ({_w})").match(text, m.end())
         if after and after[1].lower() not in AFTER_ADDRESS and re.match(r"[A-Za-zÀ-ÿ]", after[1]):
-            # a capital begins a sentence after an abbreviated kind with its point
-            if not (m[0].endswith(".") and after[1][:1].isupper()):
+            # a capital begins a sentence after an abbreviated kind with its point, or a town
+            town = after[1][0].isupper() and not after[1].isupper() and not lower and after[1].lower() not in NOT_TOWNS and not re.compile(r" [A-Z]").match(text, after.end())
+            if not (m[0].endswith(".") and after[1][:1].isupper() or town):
                 continue
         yield m.start(), m.end() - ended
-    for p in (FRENCH, ROMANCE, GERMAN, GERMAN_PLACE, RUSSIAN, CJK):
+    for p in (FRENCH, ROMANCE, GERMAN, RUSSIAN, CJK):
         for m in p.finditer(text):
+            if p is GERMAN and re.split(r"[\s\d]", m[0].lower())[0] in NOT_GERMAN or p in (FRENCH, ROMANCE) and not certain(m):
+                continue
             yield m.start(), m.end()
+    yield from german_places(text)
 
 
 _title = "|".join(TITLES)
 _family = rf"(?:(?:(?:{'|'.join(PARTICLES)})[ -])*[^\W\d_][^\W_]+(?:-[^\W\d_][^\W_]+)*)"
 FAMILY_AFTER = re.compile(rf"(?i) (?:[^\W\d_]\.? )?({_family})")
-FAMILY_BEFORE = re.compile(rf"(?i)((?:{_family})), ?$")
+FAMILY_WORD = re.compile(rf"(?i){_family}")
+
+
+def family_before(text: str, at: int) -> int | None:
+    """Where a family name begins that ends, with a comma, before offset ``at``, however long it is."""
+    end = at - 1 if at and text[at - 1] == " " else at
+    if not end or text[end - 1] != ",":
+        return None
+    start = end = end - 1
+    while start and (text[start - 1].isalpha() or text[start - 1] in "-'’"):
+        start -= 1
+    while (x := text.rfind(" ", 0, max(0, start - 1))) + 1 < start and start and text[start - 1] == " " and text[x + 1:start - 1].lower() in PARTICLES:
+        start = x + 1
+    m = FAMILY_WORD.fullmatch(text, start, end)
+    return m.start() if m else None
+
+
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ſ]")
 _plain = lru_cache(100_000)(plain)
 
@@ -251,13 +321,12 @@ def names(text: str, given: frozenset[str], taken: list[tuple[int, int]]) -> Ite
         after = FAMILY_AFTER.match(text, m.end())
         if after and not LATIN.match(after[1]):
             after = None
-        before = FAMILY_BEFORE.search(text, max(0, m.start() - 60), m.start())
-        if before and (not LATIN.match(before[1]) or before.start() and text[before.start() - 1] in "@._+"):
-            before = None
+        first = family_before(text, m.start())
+        if first is not None and (not LATIN.match(text, first) or first and text[first - 1] in "@._+"):
+            first = None
         head = lambda s: re.split(r"[ -]", s)[-1]
-        if before and (not after or not (cased and head(after[1])[0].isupper())):
-            w = head(before[1])
-            first = before.start(1)
+        if first is not None and (not after or not (cased and head(after[1])[0].isupper())):
+            w = head(text[first:m.start()].rstrip(", "))
             while (x := re.match(rf"(?i)(?:{_title})\.? ", text[first:m.start()])):
                 first += x.end()
             end = m.end()
@@ -295,8 +364,9 @@ def find(text: str, given: frozenset[str]) -> list[tuple[int, int, str, str, str
         take(EMAIL, "email")
     if DIGIT.search(t):
         if HAS_NUMBER.search(t):
-            take(ID_NUMBER, "id_number")
-            take(PHONE, "phone", 8)
+            taken += [m.span() for m in ACCOUNT.finditer(t) if is_account(m[0])]  # neither an identity number nor a phone
+            take(ID_NUMBER, "id_number", 0, (m.span() for m in ID_NUMBER.finditer(t) if not DATED.fullmatch(m[0])))
+            take(PHONE, "phone", 8, (m.span() for m in PHONE.finditer(t) if is_phone(t, *m.span())))
         if may_be_address(t, words):
             take(ENGLISH, "address", 0, addresses(t))
     if any(map(given.__contains__, map(_plain, words))):
@@ -310,17 +380,18 @@ def find(text: str, given: frozenset[str]) -> list[tuple[int, int, str, str, str
 FOUND = "src string, row_no long, start_pos long, end_pos long, pii_type string, word string, standing string"
 
 
-def learned_given(nodes: DataFrame, families: int = 4, most: int = 20_000) -> frozenset[str]:
-    """Words that stand first in the names of persons with at least ``families`` different last words. The model
-    goes to every task, so it keeps the ``most`` frequent ones at most; rarer given names count
-    through the fixed list only."""
+def learned_given(nodes: DataFrame, families: int = 4, share: float = 1 / 20_000) -> frozenset[str]:
+    """Given names: those listed, and words that stand first in the two-word names of persons with at least ``families`` different last
+    words. The model goes to every task; it is bounded as a word needs the share ``share`` of all such names, which at most 1 / ``share``
+    words can have, whatever the number of names."""
     words = F.split(F.trim("name"), " ")
-    rows = (
+    people = (
         nodes.where((F.col("node_type") == "Person") & (F.size(words) == 2)).select(words[0].alias("g"), words[1].alias("f"))
-        .where(F.col("g").rlike(r"^\p{Lu}[\p{Ll}'’-]{2,}$")).groupBy("g")
-        .agg(F.approx_count_distinct("f").alias("n")).where(F.col("n") >= families).orderBy(F.desc("n"), "g").limit(most)
+        .where(F.col("g").rlike(r"^\p{Lu}[\p{L}'’-]+$") & ~F.col("g").rlike(r"^\p{Lu}{3,}$"))
     )
-    return frozenset(plain(r.g) for r in rows.collect()) | frozenset(short_forms())
+    least = share * people.count()
+    rows = people.groupBy("g").agg(F.count_distinct("f").alias("n"), F.count(F.lit(1)).alias("m")).where((F.col("n") >= families) & (F.col("m") >= least))
+    return frozenset(plain(r.g) for r in rows.collect()) | known_given()
 
 
 def find_pii(texts: DataFrame, given: frozenset[str]) -> DataFrame:

@@ -1,9 +1,9 @@
 import pytest
 
-from convograph.llm.given_names import short_forms
-from convograph.llm.pii import find, find_pii, plain_text, redact
+from convograph.llm.given_names import known_given
+from convograph.llm.pii import find, find_pii, learned_given, plain_text, redact
 
-GIVEN = frozenset(short_forms())
+GIVEN = known_given()
 
 
 def spans(text):
@@ -62,3 +62,29 @@ def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([("message", 1, text)] * 2, "src string, row_no long, text string")
     assert redact(df.limit(1), find_pii(df, GIVEN)).first().text == "[EMAIL], [PHONE] and [ADDRESS]. " + "x" * 50_000
     assert find_pii(df.limit(0), GIVEN).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "wir treffen uns im Zimmer 12, dann im Kapitel 3. Am Gleis 4, im Level 5", "reach me via email 5, via Slack 3 or via Telegram 100", "on a pris 2 cours de danse, 3 place du marché", "im Boxring 3, auf Parkplatz 12",
+    "release v20240131 and b20231105", "see ticket 2345678901, order no 2345678901", "IBAN DE89 3704 0044 0532 0130 00 bitte",
+])
+def test_nothing_personal(text):
+    assert spans(text) == []
+
+
+@pytest.mark.parametrize("text,want", [
+    ("come to 100 Main Street Boston please", [("address", "100 Main Street")]), ("the 12 Oak Street Bakery opens", []), ("wir wohnen in Am Steg 4, 12345 Ort", [("address", "Am Steg 4")]),
+    ("wir stehen vor An den Eichen 7.", [("address", "An den Eichen 7")]), ("abita in Via Roma 5, credo", [("address", "Via Roma 5")]), ("call me on 2345678901 now", [("phone", "2345678901")]),
+    ("passport v20249931", [("id_number", "v20249931")]), ("ask Peter Meyer or Hannah Schmidt", [("name", "Hannah Schmidt"), ("name", "Peter Meyer")]),
+    ("ask Mohammed Ali, Olga Petrova, Priya Sharma", [("name", "Mohammed Ali"), ("name", "Olga Petrova"), ("name", "Priya Sharma")]),
+    ("ask for " + "Wolkenkratzer" * 9 + ", Robert at the door", [("name", "Wolkenkratzer" * 9 + ", Robert")]), ("ask for von der Leyenberg, Robert today", [("name", "von der Leyenberg, Robert")]),
+])
+def test_evidence_around(text, want):
+    assert spans(text) == want
+
+
+def test_given_names_are_learned(spark):
+    people = [("Person", f"{g} {f}") for g in ("Zorbana", "Bo", "Anna-Lisa") for f in ("Kimmelu", "Rastaho", "Pelovi", "Drunkato")] + [("Person", "Quorra Flynnu"), ("Person", "ROBERT X"), ("Alias", "Noggin Bu"), ("Person", None)]
+    nodes = spark.createDataFrame(people, "node_type string, name string")
+    assert learned_given(nodes) - GIVEN == {"zorbana", "bo", "anna-lisa"} and learned_given(nodes.limit(0)) == GIVEN
+    assert learned_given(nodes, share=0.5) == GIVEN
