@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.text import RESERVED, contains_literal, fold_ascii
 from ..lineage import Cuts
-from ..operators import graph, recall, vector
+from ..operators import graph, merge, recall, vector
 from ..sources import table
 
 ALIAS = ("knows",)
@@ -139,6 +139,71 @@ def merged_edges(spark, folder):
     return _key(e).withColumn("created_at", F.unix_micros("created_at")).withColumn("invalid_at", F.unix_micros("invalid_at"))
 
 
+def _merged(spark, folder):
+    """What each edge becomes, written once as several steps read it."""
+    return Cuts(spark, "merged").cut(merge.merge(_edges(spark, folder), final(spark, folder), table(spark, folder, "relationship_kinds")))
+
+
+def rolled_back(spark, folder):
+    """All merges and their rollback: the edges as they were."""
+    m = _merged(spark, folder)
+    back = merge.rollback(merge.edges_after(m), merge.snapshot_of(m))
+    return back.select("chat_id", "source_id", "relationship_name", "target_id", F.unix_micros("valid_at").alias("valid_us"), F.unix_micros("invalid_at").alias("invalid_us"),
+                       "edge_text", F.unix_micros("created_at").alias("created_us"))
+
+
+def merge_totals(spark, folder):
+    """Edges of each chat before the merges, and how many are accounted for by an outcome."""
+    t = merge.tallies(_merged(spark, folder))
+    return t.select("chat_id", (F.col("kept") + F.col("moved") + F.col("self_loop") + F.col("deduped") + F.col("invalidated")).alias("edges"), F.col("self_loop").alias("self_loops"))
+
+
+def rollback_refusals(spark, folder):
+    """Of all one-step merges those that could not be rolled back after all merges took place."""
+    gone = final(spark, folder)
+    left = _nodes(spark, folder).join(gone.select("chat_id", F.col("loser").alias("id")), ["chat_id", "id"], "left_anti")
+    one = survivors(spark, folder).groupBy("chat_id", "loser").agg(F.min("survivor").alias("survivor"))
+    none = spark.createDataFrame([], "chat_id string, loser string, version int")
+    return merge.refusals(left, one, none)
+
+
+def _last_keys(spark, folder):
+    e = table(spark, folder, "memory_edges")
+    return e.groupBy("chat_id", "source_id").agg(F.max_by(F.struct(*graph.KEY[2:]), "edge_no").alias("k")).select("chat_id", "source_id", "k.*")
+
+
+def _outcomes(changed):
+    return changed.groupBy("chat_id", "outcome").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("invalid_at").isNull()).alias("valid"))
+
+
+def invalidate(spark, folder):
+    """The fact each subject wrote last is closed."""
+    return _outcomes(merge.set_validity(_edges(spark, folder), _last_keys(spark, folder), F.timestamp_micros(F.lit(SINCE_US))))
+
+
+def revalidate(spark, folder):
+    """It is opened again, together with a fact nobody knows."""
+    keys = _last_keys(spark, folder)
+    ghost = keys.limit(0).unionByName(spark.createDataFrame([("-1", "ghost", "knows", "ghost")], "chat_id string, source_id string, relationship_name string, target_id string")
+                                      .withColumn("valid_at", F.timestamp_micros(F.lit(0))))
+    return _outcomes(merge.set_validity(_edges(spark, folder), keys.unionByName(ghost), None))
+
+
+def alias_links(spark, folder):
+    """Matched pairs that no alias edge joins yet; edges of the relationship ``knows`` stand for alias edges."""
+    p = _pairs(spark, folder).where("score >= 0.88 and not isnan(score)").select("chat_id", F.col("x").alias("source_id"), F.col("y").alias("target_id"))
+    return merge.link_aliases(_edges(spark, folder), p, "knows").select("chat_id", "source_id", "target_id", "relationship_name", F.unix_micros("valid_at").alias("valid_us"))
+
+
+def alias_dedupe(spark, folder):
+    return merge.dedupe_aliases(table(spark, folder, "memory_edges"), list(ALIAS))
+
+
+def merge_plan(spark, folder):
+    best = _pairs(spark, folder).where("score is not null and not isnan(score)").groupBy("chat_id", "x", "y").agg(F.max("score").alias("score"))
+    return merge.plan(best, 5).select("chat_id", "x", "y", "score", "place", "verdict")
+
+
 def _rewritten(pairs, one):
     to = lambda c: one.select("chat_id", F.col("loser").alias(c), F.col("survivor").alias(f"s_{c}"))
     p = pairs.where("not isnan(score)").join(to("x"), ["chat_id", "x"], "left").join(to("y"), ["chat_id", "y"], "left")
@@ -258,6 +323,8 @@ QUERIES = {
     "q_write_invalidate": lambda s, d: _key(graph.last_write_wins(table(s, d, "memory_edges"), table(s, d, "relationship_kinds"))),
     "q_merge_survivor": survivors, "q_merge_repoint": repoint, "q_pairs_rewrite": pairs_rewrite,
     "q_merge_final": final, "q_merge_edges": merged_edges, "q_merge_pairs": merged_pairs,
+    "q_merge_rollback": rolled_back, "q_merge_totals": merge_totals, "q_rollback_refusals": rollback_refusals, "q_invalidate": invalidate, "q_revalidate": revalidate,
+    "q_link_alias": alias_links, "q_alias_dedupe": alias_dedupe, "q_merge_plan": merge_plan,
     "q_alias_audit": lambda s, d: graph.alias_audit(table(s, d, "memory_edges")),
     "q_reconcile_edge_text_diff": edge_text_diff, "q_reconcile_missing": missing_names, "q_embed_ids_union": ids_union, "q_reconcile_orphans": orphans,
     "q_text_search": text_search, "q_name_validation": name_validation, "q_resolve_mentions": mentions, "q_promotion_pairs": promotion,
@@ -301,7 +368,39 @@ SIM = """sim as (select q.vec_id as query_id, r.vec_id, list_cosine_similarity(c
 MATCHES = """m as (select least(query_id, rk.vec_id) as x, greatest(query_id, rk.vec_id) as y, max(similarity) as s from rk join embeddings a on a.vec_id = query_id
   join embeddings b on b.vec_id = rk.vec_id where rank <= {0} and query_id <> rk.vec_id and similarity >= {1} and a.label % 2 = b.label % 2 group by 1, 2)"""
 
+FINAL = f"""{NODES}, {EDGES}, {STATS}, {PAIRS}, m as (select distinct chat_id, x, y from pairs where score >= 0.88 and not isnan(score)),
+  sy as (select chat_id, x as u, y as v from m union select chat_id, y, x from m), reach(chat_id, n, o) as (select chat_id, u, v from sy union select r.chat_id, r.n, sy.v from reach r join sy on sy.chat_id = r.chat_id and sy.u = r.o),
+  ranked as (select r.chat_id, r.n, r.o, (-coalesce(degree, 0), coalesce(created_us, 4611686018427387904), r.o) as k from reach r left join stats s on s.chat_id = r.chat_id and s.id = r.o),
+  final as (select chat_id, n as loser, arg_min(o, k) as survivor from ranked group by 1, 2 having arg_min(o, k) <> n)"""
+LAST = """lk as (select distinct chat_id, source_id, relationship_name, target_id, valid_at from (select * from memory_edges qualify row_number() over (partition by chat_id, source_id order by edge_no desc) = 1))"""
+LASTJ = "e.chat_id = k.chat_id and e.source_id = k.source_id and e.relationship_name = k.relationship_name and e.target_id = k.target_id and e.valid_at = k.valid_at"
+
 SQL = {
+    "q_merge_final": f"with recursive {FINAL} select * from final",
+    "q_merge_pairs": f"""with recursive {FINAL}, p as (select pairs.chat_id, coalesce(a.survivor, x) as a, coalesce(b.survivor, y) as b, score from pairs
+        left join final a on a.chat_id = pairs.chat_id and a.loser = x left join final b on b.chat_id = pairs.chat_id and b.loser = y where not isnan(score))
+        select chat_id, least(a, b) as x, greatest(a, b) as y, max(score) as score from p where a <> b group by 1, 2, 3""",
+    "q_merge_rollback": f"with {EDGES} select {KEYS}, epoch_us(invalid_at) as invalid_us, edge_text, epoch_us(created_at) as created_us from edges",
+    "q_merge_totals": f"""with recursive {FINAL}, mv as (select e.chat_id, coalesce(a.survivor, source_id) as s, coalesce(b.survivor, target_id) as t, a.survivor is not null or b.survivor is not null as moved
+        from edges e left join final a on a.chat_id = e.chat_id and a.loser = source_id left join final b on b.chat_id = e.chat_id and b.loser = target_id)
+        select chat_id, count(*) as edges, count(*) filter (s = t and moved) as self_loops from mv group by 1""",
+    "q_rollback_refusals": f"""with recursive {FINAL}, r as (select m.*, (-coalesce(a.degree, 0), coalesce(a.created_us, 4611686018427387904), x) <= (-coalesce(b.degree, 0), coalesce(b.created_us, 4611686018427387904), y) as xw
+        from m left join stats a on a.chat_id = m.chat_id and a.id = x left join stats b on b.chat_id = m.chat_id and b.id = y),
+        one as (select chat_id, case when xw then y else x end as loser, min(case when xw then x else y end) as survivor from r group by 1, 2),
+        left_ as (select chat_id, id from nodes except select chat_id, loser from final)
+        select * from (select one.chat_id, one.loser, one.survivor, case when s.id is null then 'survivor_missing' when l.id is not null then 'loser_exists' end as reason from one
+        left join left_ s on s.chat_id = one.chat_id and s.id = one.survivor left join left_ l on l.chat_id = one.chat_id and l.id = one.loser) where reason is not null""",
+    "q_invalidate": f"""with {EDGES}, {LAST}, j as (select e.*, case when k.chat_id is null then 'untouched' when invalid_at is not null then 'already' else 'changed' end as outcome from edges e left join lk k on {LASTJ})
+        select chat_id, outcome, count(*) as edges, count(*) filter (invalid_at is null and outcome <> 'changed') as valid from j group by 1, 2""",
+    "q_revalidate": f"""with {EDGES}, {LAST}, j as (select e.*, case when k.chat_id is null then 'untouched' when invalid_at is null then 'already' else 'changed' end as outcome from edges e left join lk k on {LASTJ})
+        select chat_id, outcome, count(*) as edges, count(*) filter (invalid_at is null or outcome = 'changed') as valid from j group by 1, 2 union all select '-1', 'unknown', 1, 1""",
+    "q_link_alias": f"""with {PAIRS} select distinct chat_id, x as source_id, y as target_id, 'knows' as relationship_name, cast(0 as bigint) as valid_us from pairs p where score >= 0.88 and not isnan(score)
+        and not exists (select 1 from memory_edges e where e.chat_id = p.chat_id and e.source_id = x and e.target_id = y and e.relationship_name = 'knows')""",
+    "q_alias_dedupe": """select edge_no, case when row_number() over (partition by chat_id, source_id, target_id order by valid_at, edge_no) > 1 then 'remove' when epoch_us(valid_at) <> 0 then 'align' else 'keep' end as action
+        from memory_edges where relationship_name = 'knows'""",
+    "q_merge_plan": f"""with {PAIRS}, b as (select chat_id, x, y, max(score) as score from pairs where score is not null and not isnan(score) group by 1, 2, 3),
+        r as (select *, row_number() over (partition by chat_id order by score desc, x, y) as place from b)
+        select *, case when place > 5 then 'skipped' when score >= 0.88 then 'same' when score >= 0.75 then 'related' else 'different' end as verdict from r""",
     "q_upsert_nodes": f"with {NODES} select chat_id, id, name, node_type, epoch_us(created_at) as created_us, epoch_us(updated_at) as updated_us, properties from nodes",
     "q_upsert_edges": f"with {EDGES} select {KEYS}, epoch_us(invalid_at) as invalid_us, edge_text, epoch_us(created_at) as created_us, properties from edges",
     "q_graph_neighbors": f"""with {EDGES}, v as (select * from edges where invalid_at is null and relationship_name <> 'contains'), {PEOPLE}, {ENDS.format('v')},
@@ -361,10 +460,9 @@ SQL = {
         and relationship_name not in ({', '.join(f"'{r}'" for r in RESERVED)}) then relationship_name else 'related_to' end as kept, count(*) as n from memory_edges group by 1, 2""",
     "q_resolve_mentions": f"""with {NODES}, m as (select distinct chat_id, sender_id, {_low('trim(sender_display_name)')} as n from messages where sender_id is not null)
         select m.chat_id, sender_id, arg_min(p.id, (p.created_at, p.id)) as node_id from m join nodes p on p.chat_id = m.chat_id and {_low('trim(p.name)')} = n and node_type = 'Person' group by 1, 2""",
-    "q_promotion_pairs": f"""with c as (select distinct chat_id, {_low('a_name')} as a, {_low('b_name')} as b from merge_candidates where a_id <> b_id and a_name <> b_name),
-        names as (select chat_id, a as n from c union select chat_id, b from c), t as (select chat_id, id, ' ' || {_low('text')} || ' ' as t from messages where text is not null),
-        hit as (select t.chat_id, id, n from t join names on t.chat_id = names.chat_id and contains(t, ' ' || n || ' ') and len(string_split(n, ' ')) <= 6)
-        select c.chat_id, a, b, count(distinct x.id) as messages from c join hit x on x.chat_id = c.chat_id and x.n = a join hit y on y.chat_id = c.chat_id and y.n = b and y.id = x.id group by 1, 2, 3""",
+    "q_promotion_pairs": f"""with c as (select distinct chat_id, {_low('a_name')} as a, {_low('b_name')} as b from merge_candidates where a_id <> b_id and a_name <> b_name and trim(a_name) <> '' and trim(b_name) <> ''),
+        t as (select chat_id, id, {_low('text')} as t from messages where text is not null)
+        select c.chat_id, a, b, count(distinct t.id) as messages from c join t on t.chat_id = c.chat_id and contains(t, a) and contains(t, b) group by 1, 2, 3""",
     "q_recall_collapse": f"with {CAND} select request, source_id, relationship_name, target_id, seq, origin, valid_at from coll",
     "q_recall_quota": f"with {QUOTA} select * from quota",
     "q_recall_dedup_injected": f"""with {QUOTA} select * from quota q where not exists (select 1 from quota l where l.place = 1 and l.source_id = q.source_id
