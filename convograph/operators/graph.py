@@ -1,7 +1,7 @@
 """Reads and writes over the bitemporal fact graph."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,17 +133,6 @@ def last_write_wins(rows: DataFrame, kinds: DataFrame) -> DataFrame:
     return e.select(*KEY, (F.row_number().over(w) == 1).alias("still_valid"))
 
 
-def repoint(edges: DataFrame, survivors: DataFrame) -> DataFrame:
-    """Edges after merging nodes: ends move to their survivor (chat_id, loser, survivor), self-loops that arise are dropped, and of edges
-    that become equal in natural key the earliest created stays, its end being the last one known."""
-    to = lambda c: survivors.select("chat_id", F.col("loser").alias(c), F.col("survivor").alias(f"new_{c}"))
-    m = edges.join(to("source_id"), ["chat_id", "source_id"], "left").join(to("target_id"), ["chat_id", "target_id"], "left")
-    moved = F.col("new_source_id").isNotNull() | F.col("new_target_id").isNotNull()
-    m = m.withColumn("moved", moved).withColumn("source_id", F.coalesce("new_source_id", "source_id")).withColumn("target_id", F.coalesce("new_target_id", "target_id"))
-    m = m.where((F.col("source_id") != F.col("target_id")) | ~F.col("moved"))
-    return m.groupBy(*KEY).agg(F.min("created_at").alias("created_at"), F.max("invalid_at").alias("invalid_at"), F.count(F.lit(1)).alias("folded"))
-
-
 def final_survivors(pairs: DataFrame, stats: DataFrame, cuts: Cuts) -> DataFrame:
     """(chat_id, loser, survivor): every node of a connected group of matched pairs (chat_id, x, y) but the one that stays, which is the
     best of the group by ``stats`` (chat_id, id, degree, created_us): higher degree, earlier created, smaller id.
@@ -175,48 +164,11 @@ def final_survivors(pairs: DataFrame, stats: DataFrame, cuts: Cuts) -> DataFrame
     return owner.where("node <> at").select("chat_id", F.col("node.id").alias("loser"), F.col("at.id").alias("survivor"))
 
 
-def _first_of_equivalent(valid: DataFrame) -> DataFrame:
-    """Of the valid edges between two nodes, those that did not move stay; moved ones stay in order of their merge unless an edge that
-    stays has the same text or the same start. That is not transitive, so rows stream through in order and texts and starts are held."""
-    pair = ["chat_id", "source_id", "relationship_name", "target_id"]
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        now, texts, starts = None, set(), set()
-        for batch in batches:
-            keep = []
-            for *key, text, start, moved in zip(*(batch.column(c).to_pylist() for c in (*pair, "edge_text", "valid_us", "moved")), strict=True):
-                if key != now:
-                    now, texts, starts = key, set(), set()
-                keep.append(not moved or not (text in texts or start in starts))
-                if keep[-1]:
-                    texts.add(text)
-                    starts.add(start)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    v = valid.withColumn("valid_us", F.unix_micros("valid_at")).repartition(*pair)
-    v = v.sortWithinPartitions(*pair, "moved", "turn", "created_at", "old_source", "old_target", "valid_us")
-    return v.mapInArrow(run, v.schema).drop("valid_us")
-
-
 def merge_edge_ends(edges: DataFrame, survivors: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Edges after all merges of ``survivors`` (chat_id, loser, survivor), where no survivor is a loser: ends move, self-loops that arise are
-    dropped, a moved valid edge is dropped where an equivalent valid one is there, invalid edges stay as history, and at last the
-    one-winner rule holds for the survivors. Adds ``still_valid``; merges take place in order of the loser's id."""
-    to = lambda c: survivors.select("chat_id", F.col("loser").alias(c), F.col("survivor").alias(f"new_{c}"))
-    m = edges.join(to("source_id"), ["chat_id", "source_id"], "left").join(to("target_id"), ["chat_id", "target_id"], "left")
-    lost = lambda c: F.when(F.col(f"new_{c}").isNotNull(), F.col(c))
-    m = m.select("chat_id", F.coalesce("new_source_id", "source_id").alias("source_id"), "relationship_name", F.coalesce("new_target_id", "target_id").alias("target_id"),
-                 "valid_at", "invalid_at", "edge_text", "created_at", F.greatest(lost("source_id"), lost("target_id")).alias("turn"),
-                 F.col("source_id").alias("old_source"), F.col("target_id").alias("old_target"))
-    m = m.withColumn("moved", F.col("turn").isNotNull()).where("source_id <> target_id or not moved")
-    helper = ["turn", "old_source", "old_target", "moved"]
-    valid = _first_of_equivalent(valid_now(m)).drop(*helper)
-    stay = survivors.select("chat_id", F.col("survivor").alias("source_id")).distinct()
-    beaten = one_winner(valid.join(stay, ["chat_id", "source_id"], "left_semi"), kinds).withColumn("beaten", F.lit(True))
-    valid = valid.join(beaten, KEY, "left").withColumn("still_valid", F.col("beaten").isNull()).drop("beaten")
-    return valid.unionByName(m.where("invalid_at is not null").drop(*helper).withColumn("still_valid", F.lit(False)))
+    """Edges after all merges of ``survivors`` (chat_id, loser, survivor), where no survivor is a loser, with ``still_valid``; see ``merge.merge``."""
+    from .merge import edges_after, merge
+
+    return edges_after(merge(edges, survivors, kinds)).select(*KEY, "invalid_at", "edge_text", "created_at", "still_valid")
 
 
 def alias_audit(edges: DataFrame) -> DataFrame:

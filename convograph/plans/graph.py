@@ -114,19 +114,6 @@ def survivors(spark, folder):
     return p.select("chat_id", win.alias("survivor"), F.when(win == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("loser"))
 
 
-def repoint(spark, folder):
-    """Each loser moves to the smallest survivor it lost to."""
-    one = survivors(spark, folder).groupBy("chat_id", "loser").agg(F.min("survivor").alias("survivor"))
-    e = graph.repoint(_edges(spark, folder), one)
-    return _key(e).withColumn("created_at", F.unix_micros("created_at")).withColumn("invalid_at", F.unix_micros("invalid_at"))
-
-
-def pairs_rewrite(spark, folder):
-    """Scored pairs after the merges: losers become their survivor, pairs of one node go, the best score of a pair stays."""
-    one = survivors(spark, folder).groupBy("chat_id", "loser").agg(F.min("survivor").alias("survivor"))
-    return _rewritten(_pairs(spark, folder), one)
-
-
 def final(spark, folder):
     """Every merged node with the one node that stays of its group, however long the chain of matches."""
     p = _pairs(spark, folder).where("score >= 0.88 and not isnan(score)").select("chat_id", "x", "y").distinct()
@@ -134,7 +121,7 @@ def final(spark, folder):
 
 
 def merged_edges(spark, folder):
-    """Edges after all merges, chains followed to their end; q_merge_repoint follows its SQL, which moves a loser one step."""
+    """Edges after all merges, chains followed to their end."""
     e = graph.merge_edge_ends(_edges(spark, folder), final(spark, folder), table(spark, folder, "relationship_kinds"))
     return _key(e).withColumn("created_at", F.unix_micros("created_at")).withColumn("invalid_at", F.unix_micros("invalid_at"))
 
@@ -263,17 +250,12 @@ def collapse(spark, folder):
 
 
 def quota(spark, folder):
-    return recall.source_quota(collapse(spark, folder), 8, 5).select("request", "place", "origin", "source_id", "relationship_name", "target_id")
-
-
-def presented(spark, folder):
-    """The quota of the reference, 40 in all and 24 of wake; q_recall_quota follows its SQL, which has 8 and 5."""
     return recall.source_quota(collapse(spark, folder)).select("request", "place", "origin", "source_id", "relationship_name", "target_id")
 
 
-def not_injected(spark, folder, shown=quota):
+def not_injected(spark, folder):
     """Presented candidates less those in the ledger of facts already told: the presented ones of place 1."""
-    q = shown(spark, folder)
+    q = quota(spark, folder)
     ledger = q.where("place = 1").select("source_id", "relationship_name", "target_id").distinct()
     return q.join(ledger, ["source_id", "relationship_name", "target_id"], "left_anti")
 
@@ -321,7 +303,7 @@ QUERIES = {
     "q_graph_topics": _graph(lambda e, s, d: graph.topics(_nodes(s, d), e)),
     "q_merge_invariant": _graph(lambda e, s, d: _key(graph.one_winner(e, table(s, d, "relationship_kinds")))),
     "q_write_invalidate": lambda s, d: _key(graph.last_write_wins(table(s, d, "memory_edges"), table(s, d, "relationship_kinds"))),
-    "q_merge_survivor": survivors, "q_merge_repoint": repoint, "q_pairs_rewrite": pairs_rewrite,
+    "q_merge_survivor": survivors, "q_merge_repoint": merged_edges, "q_pairs_rewrite": merged_pairs,
     "q_merge_final": final, "q_merge_edges": merged_edges, "q_merge_pairs": merged_pairs,
     "q_merge_rollback": rolled_back, "q_merge_totals": merge_totals, "q_rollback_refusals": rollback_refusals, "q_invalidate": invalidate, "q_revalidate": revalidate,
     "q_link_alias": alias_links, "q_alias_dedupe": alias_dedupe, "q_merge_plan": merge_plan,
@@ -329,7 +311,7 @@ QUERIES = {
     "q_reconcile_edge_text_diff": edge_text_diff, "q_reconcile_missing": missing_names, "q_embed_ids_union": ids_union, "q_reconcile_orphans": orphans,
     "q_text_search": text_search, "q_name_validation": name_validation, "q_resolve_mentions": mentions, "q_promotion_pairs": promotion,
     "q_recall_collapse": collapse, "q_recall_quota": quota, "q_recall_dedup_injected": not_injected,
-    "q_recall_presented": presented, "q_recall_presented_new": lambda s, d: not_injected(s, d, presented),
+    "q_recall_presented": quota, "q_recall_presented_new": not_injected,
     "q_vec_knn": knn, "q_vec_merge_scan": vec_merge, "q_vec_pair_bands": vec_bands, "q_ids_and_hashes": node_ids,
 }
 
@@ -359,9 +341,9 @@ CAND = f"""{EDGES}, {PEOPLE}, {ENDS.format('edges')}, cand as (select chat_id ||
   from ends join people using (chat_id, node)),
   coll as (select request, source_id, relationship_name, target_id, min(seq) as seq, arg_min(origin, seq) as origin, max(valid_at) as valid_at from cand group by 1, 2, 3, 4)"""
 QUOTA = f"""{CAND}, rk as (select *, row_number() over (partition by request, origin order by seq) as rank from coll),
-  bl as (select *, case when origin = 'wake' then 0 else 1 end + case when rank > case when origin = 'wake' then 5 else 3 end then 2 else 0 end as block from rk),
+  bl as (select *, case when origin = 'wake' then 0 else 1 end + case when rank > case when origin = 'wake' then 24 else 16 end then 2 else 0 end as block from rk),
   pl as (select *, row_number() over (partition by request order by block, rank) as place from bl),
-  quota as (select request, place, origin, source_id, relationship_name, target_id from pl where place <= 8)"""
+  quota as (select request, place, origin, source_id, relationship_name, target_id from pl where place <= 40)"""
 _low = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 SIM = """sim as (select q.vec_id as query_id, r.vec_id, list_cosine_similarity(cast(q.embedding as double[]), cast(r.embedding as double[])) as similarity
   from embeddings q, embeddings r {0}), rk as (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, vec_id) as rank from sim)"""
@@ -375,11 +357,34 @@ FINAL = f"""{NODES}, {EDGES}, {STATS}, {PAIRS}, m as (select distinct chat_id, x
 LAST = """lk as (select distinct chat_id, source_id, relationship_name, target_id, valid_at from (select * from memory_edges qualify row_number() over (partition by chat_id, source_id order by edge_no desc) = 1))"""
 LASTJ = "e.chat_id = k.chat_id and e.source_id = k.source_id and e.relationship_name = k.relationship_name and e.target_id = k.target_id and e.valid_at = k.valid_at"
 
+# merges in order of the loser: an edge is dropped if one that stays before it says the same, which is not transitive, so the rows of two nodes are taken one by one
+MERGED = f"""{FINAL}, mv as (select e.chat_id, coalesce(a.survivor, source_id) as s, relationship_name as r, coalesce(b.survivor, target_id) as t, valid_at, invalid_at, edge_text, created_at,
+    a.survivor is not null or b.survivor is not null as moved, greatest(case when a.survivor is not null then source_id end, case when b.survivor is not null then target_id end) as turn, source_id as os, target_id as ot
+    from edges e left join final a on a.chat_id = e.chat_id and a.loser = source_id left join final b on b.chat_id = e.chat_id and b.loser = target_id),
+  kept as (select * from mv where s <> t or not moved),
+  lined as (select *, row_number() over (partition by chat_id, s, r, t order by moved, turn, created_at, os, ot, valid_at) as n from kept where invalid_at is null),
+  walk(chat_id, s, r, t, n, texts, starts, stays) as (select chat_id, s, r, t, n, [edge_text], [valid_at], true from lined where n = 1 union all
+    select chat_id, s, r, t, n, case when x then texts || [edge_text] else texts end, case when x then starts || [valid_at] else starts end, x
+    from (select l.*, w.texts, w.starts, not l.moved or not (list_contains(w.texts, l.edge_text) or list_contains(w.starts, l.valid_at)) as x
+      from lined l join walk w on w.chat_id = l.chat_id and w.s = l.s and w.r = l.r and w.t = l.t and l.n = w.n + 1)),
+  live as (select l.* from lined l join walk w using (chat_id, s, r, t, n) where stays),
+  stay as (select distinct chat_id, survivor as s from final),
+  lose as (select chat_id, s, r, t, valid_at from live join stay using (chat_id, s) where r in (select relationship_name from relationship_kinds where single_value)
+    qualify row_number() over (partition by chat_id, s, r order by valid_at desc, t) > 1)
+  select chat_id, s as source_id, r as relationship_name, t as target_id, epoch_us(valid_at) as valid_us, epoch_us(invalid_at) as invalid_at, edge_text, epoch_us(created_at) as created_at,
+    not exists (select 1 from lose o where o.chat_id = live.chat_id and o.s = live.s and o.r = live.r and o.t = live.t and o.valid_at = live.valid_at) as still_valid from live
+  union all select chat_id, s, r, t, epoch_us(valid_at), epoch_us(invalid_at), edge_text, epoch_us(created_at), false from kept where invalid_at is not null"""
+
 SQL = {
+    "q_merge_repoint": f"with recursive {MERGED}",
+    "q_merge_edges": f"with recursive {MERGED}",
     "q_merge_final": f"with recursive {FINAL} select * from final",
     "q_merge_pairs": f"""with recursive {FINAL}, p as (select pairs.chat_id, coalesce(a.survivor, x) as a, coalesce(b.survivor, y) as b, score from pairs
         left join final a on a.chat_id = pairs.chat_id and a.loser = x left join final b on b.chat_id = pairs.chat_id and b.loser = y where not isnan(score))
         select chat_id, least(a, b) as x, greatest(a, b) as y, max(score) as score from p where a <> b group by 1, 2, 3""",
+    "q_pairs_rewrite": f"""with recursive {FINAL}, p as (select pairs.chat_id, coalesce(a.survivor, x) as a, coalesce(b.survivor, y) as b, score from pairs
+        left join final a on a.chat_id = pairs.chat_id and a.loser = x left join final b on b.chat_id = pairs.chat_id and b.loser = y where not isnan(score))
+        select chat_id, least(a, b) as x, greatest(a, b) as y, max(score) as score from p where a <> b group by 1, 2, 3""",
     "q_merge_rollback": f"with {EDGES} select {KEYS}, epoch_us(invalid_at) as invalid_us, edge_text, epoch_us(created_at) as created_us from edges",
     "q_merge_totals": f"""with recursive {FINAL}, mv as (select e.chat_id, coalesce(a.survivor, source_id) as s, coalesce(b.survivor, target_id) as t, a.survivor is not null or b.survivor is not null as moved
         from edges e left join final a on a.chat_id = e.chat_id and a.loser = source_id left join final b on b.chat_id = e.chat_id and b.loser = target_id)
@@ -432,13 +437,6 @@ SQL = {
     "q_write_invalidate": f"""with e as (select chat_id, source_id, relationship_name, target_id, valid_at, max(edge_no) as seq from memory_edges join relationship_kinds using (relationship_name)
         where single_value group by 1, 2, 3, 4, 5) select {KEYS}, row_number() over (partition by chat_id, source_id, relationship_name order by seq desc) = 1 as still_valid from e""",
     "q_merge_survivor": f"with {SURV} select chat_id, survivor, loser from surv",
-    "q_merge_repoint": f"""with {SURV}, mv as (select e.*, coalesce(a.survivor, source_id) as s, coalesce(b.survivor, target_id) as t, a.survivor is not null or b.survivor is not null as moved
-        from edges e left join one a on a.chat_id = e.chat_id and a.loser = source_id left join one b on b.chat_id = e.chat_id and b.loser = target_id)
-        select chat_id, s as source_id, relationship_name, t as target_id, epoch_us(valid_at) as valid_us, epoch_us(min(created_at)) as created_at, epoch_us(max(invalid_at)) as invalid_at,
-        count(*) as folded from mv where s <> t or not moved group by chat_id, s, relationship_name, t, valid_at""",
-    "q_pairs_rewrite": f"""with {SURV}, p as (select pairs.chat_id, coalesce(a.survivor, x) as a, coalesce(b.survivor, y) as b, score from pairs
-        left join one a on a.chat_id = pairs.chat_id and a.loser = x left join one b on b.chat_id = pairs.chat_id and b.loser = y where not isnan(score))
-        select chat_id, least(a, b) as x, greatest(a, b) as y, max(score) as score from p where a <> b group by 1, 2, 3""",
     "q_alias_audit": """with p as (select chat_id, source_id, relationship_name, target_id, count(*) as n from memory_edges group by 1, 2, 3, 4)
         select chat_id, cast(sum(n) as bigint) as rows, count(*) as facts, cast(sum(n - 1) as bigint) as duplicates, count(*) filter (source_id = target_id) as self_loops, max(n) as most_rows from p group by 1""",
     "q_reconcile_edge_text_diff": f"""with {EDGES}, old as ({FOLD} where edge_no <= (select max(edge_no) // 2 from memory_edges) group by 1, 2, 3, 4, 5),
@@ -464,6 +462,9 @@ SQL = {
         t as (select chat_id, id, {_low('text')} as t from messages where text is not null)
         select c.chat_id, a, b, count(distinct t.id) as messages from c join t on t.chat_id = c.chat_id and contains(t, a) and contains(t, b) group by 1, 2, 3""",
     "q_recall_collapse": f"with {CAND} select request, source_id, relationship_name, target_id, seq, origin, valid_at from coll",
+    "q_recall_presented": f"with {QUOTA} select * from quota",
+    "q_recall_presented_new": f"""with {QUOTA} select * from quota q where not exists (select 1 from quota l where l.place = 1 and l.source_id = q.source_id
+        and l.relationship_name = q.relationship_name and l.target_id = q.target_id)""",
     "q_recall_quota": f"with {QUOTA} select * from quota",
     "q_recall_dedup_injected": f"""with {QUOTA} select * from quota q where not exists (select 1 from quota l where l.place = 1 and l.source_id = q.source_id
         and l.relationship_name = q.relationship_name and l.target_id = q.target_id)""",
