@@ -51,3 +51,32 @@ def source_quota(candidates: DataFrame, total: int = 40, wake: int = 24) -> Data
     r = candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= total)
     block = F.when(F.col("origin") == "wake", 0).otherwise(1) + F.when(F.col("rank") > share, 2).otherwise(0)
     return r.withColumn("block", block).withColumn("place", F.row_number().over(place).cast("long")).where(F.col("place") <= total).drop("block", "rank")
+
+
+KEY = ["source_id", "relationship_name", "target_id", "valid_at"]
+
+
+def union_in_order(*sources: DataFrame) -> DataFrame:
+    """Candidates (request, seq, KEY, ...) of several sources as one list without repeats: a candidate stands where its first source put it; ``seq``
+    is then (source, place)."""
+    every = None
+    for n, s in enumerate(sources):
+        part = s.select("request", F.struct(F.lit(n).alias("source"), F.col("seq").alias("place")).alias("seq"), *KEY)
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("request", *KEY).agg(F.min("seq").alias("seq"))
+
+
+def selected(presented: DataFrame, selections: DataFrame, most: int = 5) -> DataFrame:
+    """What is injected of the presented candidates (request, place, ...): ``selections`` (request, picks) holds 1-based numbers as a model gives
+    them. Zero and negative ones and those beyond the list are passed over, repeated ones count once, and the first ``most`` are taken."""
+    p = selections.select("request", F.posexplode("picks").alias("at", "place")).where("place >= 1").groupBy("request", "place").agg(F.min("at").alias("at"))
+    j = p.join(presented, ["request", "place"])
+    w = Window.partitionBy("request").orderBy("at")
+    return j.withColumn("slot", F.row_number().over(w).cast("long")).where(F.col("slot") <= most).drop("at")
+
+
+def prompt(presented: DataFrame, text: str, since: str) -> DataFrame:
+    """(request, prompt): the presented candidates, forty at most, as a numbered list with the day each is valid since."""
+    line = F.concat(F.col("place").cast("string"), F.lit(". "), F.col(text), F.lit(" (since "), F.date_format(since, "yyyy-MM-dd"), F.lit(")"))
+    rows = presented.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("x"))
+    return rows.select("request", F.array_join(F.col("x.line"), "\n").alias("prompt"))

@@ -344,7 +344,7 @@ QUOTA = f"""{CAND}, rk as (select *, row_number() over (partition by request, or
   bl as (select *, case when origin = 'wake' then 0 else 1 end + case when rank > case when origin = 'wake' then 24 else 16 end then 2 else 0 end as block from rk),
   pl as (select *, row_number() over (partition by request order by block, rank) as place from bl),
   quota as (select request, place, origin, source_id, relationship_name, target_id from pl where place <= 40)"""
-_low = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+ALL_LOW = _low = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 SIM = """sim as (select q.vec_id as query_id, r.vec_id, list_cosine_similarity(cast(q.embedding as double[]), cast(r.embedding as double[])) as similarity
   from embeddings q, embeddings r {0}), rk as (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, vec_id) as rank from sim)"""
 MATCHES = """m as (select least(query_id, rk.vec_id) as x, greatest(query_id, rk.vec_id) as y, max(similarity) as s from rk join embeddings a on a.vec_id = query_id
