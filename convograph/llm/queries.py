@@ -4,22 +4,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import table
-from .conversations import rebuild_conversations
+from .conversations import dialogue, rebuild_conversations
 from .groups import group_matches
 from .languages import fit_languages, label_segments
 from .lookalikes import BLANK, same_form
-from .mixing import mix, share_report
+from .mixing import mix, mixture_faults, share_report
 from .names import link_names, same_entity_pairs
-from .packing import fill_report, pack
+from .packing import fill_report, pack, packing_faults
 from .pii import find_pii, learned_given, redact, texts_of
 from .subjects import assign_subjects
-from .uniform import same_looking
+from .uniform import same_looking, uniform_text
 
 
 def p1_found(spark, folder):
     return rebuild_conversations(table(spark, folder, "messages"))
 
 
+def p1_dialogue(spark, folder):
+    """The turns of all kept conversations with their roles and texts."""
+    return dialogue(table(spark, folder, "messages"), p1_found(spark, folder))
+
+
 def p6_found(spark, folder):
     return group_matches(table(spark, folder, "merge_candidates"))
 
@@ -28,6 +33,11 @@ def p2_found(spark, folder):
     return same_entity_pairs(link_names(*(table(spark, folder, t) for t in ("messages", "memory_nodes", "merge_candidates"))))
 
 
+def p2_entities(spark, folder):
+    """Every record with the entity it belongs to, one row each."""
+    return link_names(*(table(spark, folder, t) for t in ("messages", "memory_nodes", "merge_candidates"))).withColumn("entity", F.md5(F.col("entity").cast("binary")))
+
+
 def p3_occurrences(spark, folder):
     texts = texts_of(table(spark, folder, "messages"), table(spark, folder, "memory_edges"))
     return texts, find_pii(texts, learned_given(table(spark, folder, "memory_nodes")))
@@ -47,6 +57,19 @@ def p4_found(spark, folder):
     return label_segments(texts, fit_languages(texts), only_wrong=True).select("src", "row_no", "seg_no", "seg_lang")
 
 
+def p4_segments(spark, folder):
+    """The language of every segment of every text with its confidence, whatever the label says."""
+    texts = texts_of(table(spark, folder, "messages"), table(spark, folder, "memory_edges"), "lang")
+    return label_segments(texts, fit_languages(texts)).select("src", "row_no", "seg_no", "seg_lang", F.round("confidence", 6).alias("confidence"))
+
+
+def p5_forms(spark, folder):
+    """The consistent form of every text and name."""
+    m = table(spark, folder, "messages").where("text is not null").select(F.lit("message").alias("src"), F.col("id").cast("string").alias("key"), "text")
+    n = table(spark, folder, "memory_nodes").where("name is not null").select(F.lit("node").alias("src"), F.col("id").alias("key"), F.col("name").alias("text")).distinct()
+    return uniform_text(m.unionByName(n), "text", "form").select("src", "key", "form")
+
+
 def p5_found(spark, folder):
     return same_looking(table(spark, folder, "messages"), "id", "text", "message").unionByName(
         same_looking(table(spark, folder, "memory_nodes"), "id", "name", "node"))
@@ -60,6 +83,10 @@ def p8_report(spark, folder):
     return fill_report(p8_packed(spark, folder))
 
 
+def p8_faults(spark, folder):
+    return packing_faults(p8_packed(spark, folder), table(spark, folder, "documents"))
+
+
 def p9_mixed(spark, folder):
     return mix(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
 
@@ -68,6 +95,10 @@ def p9_shares(spark, folder):
     return share_report(p9_mixed(spark, folder), table(spark, folder, "source_targets"))
 
 
+def p9_faults(spark, folder):
+    return mixture_faults(p9_mixed(spark, folder), table(spark, folder, "documents"), table(spark, folder, "source_targets"))
+
+
 def p10_shares(spark, folder):
     """The subjects of each document with their share of its sentences."""
     return assign_subjects(*(table(spark, folder, t) for t in ("documents", "subject_areas", "subject_labels")))
@@ -87,8 +118,11 @@ def p10_composition(spark, folder):
     )
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found,
-           "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {
+    "p1_found": p1_found, "p1_dialogue": p1_dialogue, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_segments": p4_segments,
+    "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p8_packed": p8_packed, "p8_report": p8_report, "p8_faults": p8_faults, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p9_faults": p9_faults,
+    "p10_found": p10_found, "p10_composition": p10_composition,
+}
 
 P1_SQL = r"""
 with recursive r as (
@@ -114,6 +148,9 @@ select c.chat_id, c.root as root_msg_id, row_number() over (partition by c.chat_
 from c join k using (chat_id, root) join m using (chat_id, p) where not blank
 """
 
+P1_ROLES_SQL = P1_SQL.replace("min(reply_to_platform_msg_id) as reply,", "arg_max(text, (timestamp, event_type = 'edit', id)) as text, min(reply_to_platform_msg_id) as reply,").replace(
+    "c.p as platform_msg_id\nfrom", "case when direction = 'outbound' then 'assistant' else 'user' end as role, text\nfrom")
+
 P6_SQL = """
 with recursive l as (
   select a_id as u, b_id as v from merge_candidates
@@ -133,4 +170,12 @@ from m a join m b on a.src = b.src and a.chat_id = b.chat_id and a.form = b.form
 where not regexp_full_match(a.form, '{BLANK}')
 """
 
-SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+FORMS_SQL = f"""
+select 'message' as src, cast(id as varchar) as key, {same_form('text')} as form from messages where text is not null
+union all select distinct 'node', id, {same_form('name')} from memory_nodes where name is not null
+"""
+# what the reports of faults must say: these are invariants, no second packing or mixture
+P8_SQL = "select * from (values ('over_capacity', cast(0 as bigint)), ('tokens_not_once', 0), ('split_needlessly', 0)) t(fault, n)"
+P9_SQL = "select * from (values ('beyond_max_repeats', cast(0 as bigint)), ('gap_in_copies', 0), ('unknown_document', 0), ('other_size', 0)) t(fault, n)"
+
+SQL = {"p1_found": P1_SQL, "p1_dialogue": P1_ROLES_SQL, "p5_found": P5_SQL, "p5_forms": FORMS_SQL, "p6_found": P6_SQL, "p8_faults": P8_SQL, "p9_faults": P9_SQL}
