@@ -5,6 +5,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -231,34 +232,66 @@ def read_names(named: DataFrame, given: frozenset[str]) -> DataFrame:
     return named.select("chat_id", "ref", "kind", "name").mapInArrow(run, NAMED).where("spelling not in ('', '||')").distinct()
 
 
+DIMENSIONS = 1 << 18
+WEIGHT_BITS = 26
+
+
+def dimensions(kind: str, spelling: str) -> list[int]:
+    """The dimensions of a name's n-grams: a checksum folds them into a fixed number, so that tables by n-gram have a bounded size in any script."""
+    return sorted({crc32(g.encode()) % DIMENSIONS for g in name_grams(kind, spelling)})
+
+
+def weigh(names: int, holders: np.ndarray) -> np.ndarray:
+    """The squared weight of each dimension in millionths: the square of the logarithm of how rare it is among all names of its kind. Below one
+    in a thousand it no longer rises, so that a slip, which makes n-grams nobody else has, does not outweigh what is left of the name."""
+    return np.rint(np.log(1 + names / np.maximum(holders + names / 1000, 1e-9)) ** 2 * 1e6).astype(np.int64)
+
+
 def vectors(spellings: DataFrame, least: float, cuts: Cuts) -> DataFrame:
-    """(chat_id, kind, spelling, grams, norm, prefix): the n-gram vector of each spelling, weighted by rarity, and the n-grams of its prefix.
+    """(id, chat_id, kind, spelling, codes, norm, prefix): the n-gram vector of each spelling, and the dimensions of its prefix.
+
+    A code is a dimension and its squared weight in one number, so that the codes two vectors share give their product. The
+    prefix is the rarest dimensions, all ranked alike, up to where what remains is shorter than ``least``: two vectors
+    with a cosine of ``least`` share a dimension of both prefixes, or all they share would lie in what remains of one. The weights are
+    two arrays of a fixed size, which go to every task. ``id`` is a hash: equal ids of different spellings only make pairs that are then told apart."""
+    def counted(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            kinds, found = batch.column("kind").to_pylist(), []
+            for k, s in zip(kinds, batch.column("spelling").to_pylist(), strict=True):
+                found.append(np.array(dimensions(k, s)) + (DIMENSIONS if k == "person" else 0))
+            at, n = np.unique(np.concatenate(found) if found else np.array([], int), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["at", "n"])
+
+    held = spellings.select("kind", "spelling").mapInArrow(counted, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    holders = np.zeros(2 * DIMENSIONS)
+    holders[held.column("at").to_numpy()] = held.column("n").to_numpy()
+    size = {r.kind: r.n for r in spellings.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights = spellings.sparkSession.sparkContext.broadcast({k: weigh(size.get(k, 0), h) for k, h in (("org", holders[:DIMENSIONS]), ("person", holders[DIMENSIONS:]))})
 
-    The weight of an n-gram is the logarithm of how rare it is among all names of its kind; below one in a thousand it no longer rises, so
-    that a slip, which makes n-grams nobody else has, does not outweigh what is left of the name. ``grams`` holds (n-gram, squared weight).
-    The prefix is the rarest n-grams, all ranked alike, up to where what remains is shorter than ``least``: two vectors
-    with a cosine of ``least`` share an n-gram of both prefixes, or all they share would lie in what remains of one."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        w = weights.value
         for batch in batches:
-            found = [name_grams(k, s) for k, s in zip(batch.column("kind").to_pylist(), batch.column("spelling").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chat_id", "kind", "spelling")), pa.array(found, pa.list_(pa.string()))],
-                                             names=["chat_id", "kind", "spelling", "grams"])
-
-    key = ["chat_id", "kind", "spelling"]
-    g = cuts.cut(spellings.mapInArrow(run, "chat_id string, kind string, spelling string, grams array<string>")
-                 .select(*key, F.explode(F.transform("grams", lambda g: F.xxhash64(g))).alias("gram")))
-    df = g.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("df"))
-    n = spellings.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # two rows at most
-    weight = F.log(1 + F.col("n") / (F.col("df") + F.col("n") / 1000))
-    w = g.join(df, ["kind", "gram"]).join(F.broadcast(n), "kind").select(*key, F.struct((-weight * weight).alias("w"), "gram").alias("x"))
-    w = w.groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("x")).withColumn("norm2", F.aggregate("x", F.lit(0.0), lambda t, x: t - x["w"]))
-    # places from the end back, as long as what they add up to stays below the threshold
-    tail = F.aggregate(F.reverse("x"), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-                       lambda t, x: F.when(t["sum"] - x["w"] < least * least * F.col("norm2"), F.struct((t["sum"] - x["w"]).alias("sum"), (t["n"] + 1).alias("n")))
-                       .otherwise(F.struct(F.col("norm2").alias("sum"), t["n"].alias("n"))))
-    return cuts.cut(w.select(*key, "x", F.sqrt("norm2").alias("norm"), F.slice("x", F.lit(1), F.greatest(F.lit(1), F.size("x") - tail["n"])).getField("gram").alias("prefix")))
+            codes, norms, prefixes = [], [], []
+            for k, s in zip(batch.column("kind").to_pylist(), batch.column("spelling").to_pylist(), strict=True):
+                d = np.array(dimensions(k, s))
+                w2 = w[k][d]
+                order = np.lexsort((d, -w2))
+                d, w2 = d[order], w2[order]
+                total = int(w2.sum())
+                rest = total - np.cumsum(w2)  # what remains behind each
+                codes.append((d << WEIGHT_BITS) | w2)
+                norms.append((total / 1e6) ** 0.5)
+                prefixes.append(d[:1 + int(np.argmax(rest < least * least * total))])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(codes, pa.list_(pa.int64())), pa.array(norms, pa.float64()), pa.array(prefixes, pa.list_(pa.int32()))],
+                names=[*batch.schema.names, "codes", "norm", "prefix"])
+
+    s = spellings.select(F.xxhash64("chat_id", "kind", "spelling").alias("id"), "chat_id", "kind", "spelling")
+    return cuts.cut(s.mapInArrow(run, "id long, chat_id string, kind string, spelling string, codes array<long>, norm double, prefix array<int>"))
 
 
 def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.4, block: int = 2000) -> DataFrame:
@@ -266,21 +299,21 @@ def similar_spellings(spellings: DataFrame, cuts: Cuts, least: float = 0.4, bloc
 
     A join by prefixes (see ``vectors``) finds the pairs that may reach it, and only these are compared in full. The n of the
     top-n of a spelling is the number of its partners above the threshold: it differs between spellings, and none is cut off.
-    Where an n-gram occurs more than ``block`` times in a chat, its pairs are made block by block in different tasks."""
+    Where a dimension occurs more than ``block`` times in a chat, its pairs are made block by block in different tasks."""
     v = vectors(spellings, least, cuts)
-    key = ["chat_id", "kind", "gram"]
-    p = v.select("chat_id", "kind", "spelling", F.explode("prefix").alias("gram"))
-    busy = p.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    p = cuts.cut(p.join(busy, key).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).drop("m"))
-    a = p.select(*key, F.col("spelling").alias("a"), F.pmod(F.xxhash64("spelling"), F.col("blocks")).cast("int").alias("block"))
-    b = p.select(*key, F.col("spelling").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = a.join(b, [*key, "block"]).where("a < b").select("chat_id", "kind", "a", "b").distinct()
-    side = lambda c: v.select("chat_id", "kind", F.col("spelling").alias(c), F.col("x").alias(f"x_{c}"), F.col("norm").alias(f"n_{c}"))
-    dot = F.aggregate(F.array_intersect("x_a", "x_b"), F.lit(0.0), lambda t, x: t - x["w"])
-    cosine = dot / (F.col("n_a") * F.col("n_b"))
+    p = v.select("id", F.explode("prefix").alias("d"), "chat_id", "kind").select(F.xxhash64("chat_id", "kind", "d").alias("key"), "id")
+    busy = p.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    p = cuts.cut(p.join(busy, "key").select("key", "id", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    a = p.select("key", F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    b = p.select("key", F.col("id").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = a.join(b, ["key", "block"]).where("i < j").select("i", "j").distinct()
+    side = lambda c, n: v.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}{n}") for x in ("chat_id", "kind", "spelling", "codes", "norm")])
+    shared = F.aggregate(F.array_intersect("codes1", "codes2"), F.lit(0).cast("long"), lambda t, x: t + x.bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1)))
+    cosine = shared / 1e6 / (F.col("norm1") * F.col("norm2"))
     return (
-        pairs.join(side("a"), ["chat_id", "kind", "a"]).join(side("b"), ["chat_id", "kind", "b"])
-        .select("chat_id", "kind", "a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
+        pairs.join(side("i", 1), "i").join(side("j", 2), "j").where("chat_id1 = chat_id2 and kind1 = kind2")
+        .select(F.col("chat_id1").alias("chat_id"), F.col("kind1").alias("kind"), F.least("spelling1", "spelling2").alias("a"), F.greatest("spelling1", "spelling2").alias("b"), cosine.alias("cosine"))
+        .where(F.col("cosine") >= least)
     )
 
 

@@ -3,7 +3,7 @@ import pytest
 
 from convograph.lineage import Cuts
 from convograph.llm.given_names import short_forms
-from convograph.llm.names import Reader, average_linkage, edits, likeness, link_in_memory, link_names, linkage_rounds, name_grams, organisation_likeness, person_likeness, same_entity_pairs, similar_spellings, vectors
+from convograph.llm.names import Reader, average_linkage, dimensions, edits, likeness, link_in_memory, link_names, linkage_rounds, organisation_likeness, person_likeness, same_entity_pairs, similar_spellings, vectors, weigh
 
 R = Reader(frozenset(short_forms()))
 
@@ -31,13 +31,13 @@ def test_edits():
 
 
 def cosines(words, kind):
-    n, df = len(words), {}
+    df = {}
     for w in words:
-        for g in name_grams(kind, w):
+        for g in dimensions(kind, w):
             df[g] = df.get(g, 0) + 1
-    v = {w: {g: np.log(1 + n / (df[g] + n / 1000)) for g in name_grams(kind, w)} for w in words}
-    norm = {w: np.sqrt(sum(x * x for x in v[w].values())) for w in words}
-    return {(a, b): sum(v[a][g] * v[b].get(g, 0) for g in v[a]) / norm[a] / norm[b] for a in words for b in words if a < b}
+    v = {w: {g: float(weigh(len(words), np.array([df[g]]))[0]) for g in dimensions(kind, w)} for w in words}
+    norm = {w: np.sqrt(sum(v[w].values())) for w in words}
+    return {(a, b): sum(v[a][g] for g in v[a].keys() & v[b].keys()) / norm[a] / norm[b] for a in words for b in words if a < b}
 
 
 @pytest.mark.parametrize("kind", ["org", "person"])
@@ -55,9 +55,10 @@ def test_prefix_join_finds_all_similar_pairs_and_cuts(spark, kind):
     v = vectors(df, 0.5, Cuts(spark, "t")).collect()
     # no longer prefix than needed: without its last n-gram what remains would reach the threshold
     for r in v:
-        w2 = [-x.w for x in r.x]
+        w2 = [(c & (1 << 26) - 1) / 1e6 for c in r.codes]
         assert sum(w2[len(r.prefix):]) < 0.25 * r.norm**2 + 1e-9 <= sum(w2[len(r.prefix) - 1:]) + 2e-9
-    assert sum(len(r.prefix) for r in v) < 0.85 * sum(len(r.x) for r in v)
+        assert [c >> 26 for c in r.codes][:len(r.prefix)] == r.prefix
+    assert sum(len(r.prefix) for r in v) < 0.85 * sum(len(r.codes) for r in v)
 
 
 def test_the_check_bridges_but_does_not_link(spark):
