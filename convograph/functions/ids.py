@@ -66,3 +66,30 @@ def content_hash(name: Column, description: Column) -> Column:
 def pipe_edge_id(source: Column, relationship: Column, target: Column, valid_at: Column) -> Column:
     """source|relationship|target|instant, the instant in UTC to the microsecond."""
     return F.concat_ws("|", source, relationship, target, F.unix_micros(valid_at).cast("string"))
+
+
+def json_edge_id(source: Column, relationship: Column, target: Column, valid_at: Column) -> Column:
+    """The natural key as compact JSON with sorted fields, the start cut to the microsecond."""
+    at = F.date_format(valid_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.to_json(F.struct(relationship.alias("relationship_name"), source.alias("source_id"), target.alias("target_id"), at.alias("valid_at")))
+
+
+def decode_edge_id(edge_id: Column) -> Column:
+    """The natural key of a JSON id as a struct; null for anything else, so that reads pass it over and writers can refuse it."""
+    raw = F.from_json(edge_id, "relationship_name string, source_id string, target_id string, valid_at string")
+    at = F.try_to_timestamp(raw["valid_at"], F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    whole = raw["source_id"].isNotNull() & raw["relationship_name"].isNotNull() & raw["target_id"].isNotNull() & at.isNotNull()
+    return F.when(whole, F.struct(raw["source_id"].alias("source_id"), raw["relationship_name"].alias("relationship_name"), raw["target_id"].alias("target_id"), at.alias("valid_at")))
+
+
+def properties_of(node_type: Column, **fields: Column) -> Column:
+    """A node's properties as JSON with its kind; fields without a value are left out."""
+    return F.to_json(F.struct(F.lower(node_type).alias("kind"), *[v.alias(k) for k, v in sorted(fields.items())]))
+
+
+def alias_text(surface: Column, name: Column) -> Column:
+    return F.concat(surface, F.lit(" is a surface form of "), name, F.lit("."))
+
+
+def batch_text(first: Column, last: Column, name: Column) -> Column:
+    return F.concat(F.lit("batch "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(" mentions "), name)

@@ -188,10 +188,10 @@ def advance(state: History | None, snapshot: DataFrame, cuts: Cuts, fan: int = 1
         side(state.facts, 1).union(side(now, 2)).groupBy(*STATE)
         .agg(F.sum("__side").alias("__s")).where("__s <> 3").select(*SUBJECT).distinct()
     )
-    anew = cuts.cut(versions(within(now).join(subjects, SUBJECT, "left_semi")))
-    gone = subjects.join(anew, SUBJECT, "left_anti").select(*SUBJECT, *[F.lit(None).cast(anew.schema[c].dataType).alias(c) for c in VERSION[len(SUBJECT):]])
+    anew = versions(within(now).join(subjects, SUBJECT, "left_semi"))
+    gone = subjects.join(within(now), SUBJECT, "left_anti").select(*SUBJECT, *[F.lit(None).cast(anew.schema[c].dataType).alias(c) for c in VERSION[len(SUBJECT):]])
     part = cuts.cut(anew.unionByName(gone).withColumn("seq", F.lit(len(state.log))))
-    cuts.drop(buckets, subjects, anew)
+    cuts.drop(buckets, subjects)
     return History(now, leaves, [*state.log, part], fan, depth)
 
 

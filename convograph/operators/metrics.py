@@ -109,3 +109,20 @@ def strata(df: DataFrame, x: str, order: list, parts: int = 5) -> DataFrame:
     bounds = [(i * n) // parts for i in range(1, parts)]
     s = sum((F.when(F.col("at") > b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("long").alias("stratum")
     return ranked.groupBy(s).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"))
+
+
+def top_label_ece(df: DataFrame, parts: int = 10) -> DataFrame:
+    """Weighted gap between confidence and accuracy over ``parts`` bins of (confidence, correct)."""
+    b = F.least(F.floor(F.col("confidence") * parts), F.lit(parts - 1))
+    g = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"), F.avg(F.col("correct").cast("double")).alias("a"))
+    return g.agg(F.round(F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n"), 6).alias("ece_top_label"))
+
+
+def selective(curve: DataFrame, steps: int = 21) -> DataFrame:
+    """One row from a risk-coverage curve (step, rows, accuracy): the area under the risk by the trapezoid rule, and the accuracy at half, four fifths
+    and all of the rows."""
+    w = Window.orderBy("step")  # over the curve's few rows
+    area = (1 - F.col("accuracy") + 1 - F.lag("accuracy").over(w)) / 2 / (steps - 1)
+    at = lambda share, name: F.max(F.when(F.col("step") == round(share * (steps - 1)), F.col("accuracy"))).alias(name)
+    c = curve.withColumn("area", area)
+    return c.agg(F.round(F.sum("area"), R).alias("aurc"), at(0.5, "acc_50"), at(0.8, "acc_80"), at(1.0, "acc_100"))

@@ -23,15 +23,17 @@ def prefixed(df: DataFrame, keys: Sequence[str], prefix: str = "__b_") -> DataFr
 
 def slice_hot(df: DataFrame, keys: Sequence[str], lead: str, hot_rows: int) -> tuple[DataFrame, bool]:
     """Adds ``__slice``, 0 in groups of at most ``hot_rows`` rows; larger groups are cut at
-    approximate quantiles of the numeric column ``lead`` into 32 slices, so that work on
-    (keys, slice) never puts a whole hot group into one task. Also tells if any group is hot."""
+    approximate quantiles of the numeric column ``lead`` into slices of about a quarter of that, as many as the largest group needs, so that
+    work on (keys, slice) never puts a whole hot group into one task. Also tells if any group is hot."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = prefixed(sizes.where(F.col("__n") > hot_rows), keys)
-    if not hot.take(1):
+    largest = hot.agg(F.max("__n")).first()[0]
+    if largest is None:
         return df.withColumn(SLICE, F.lit(0)), False
+    parts = max(2, -(-4 * largest // hot_rows))
     bounds = (
         df.join(hot, on_keys(keys), "left_semi").groupBy(*keys)
-        .agg(F.percentile_approx(lead, [i / 32 for i in range(1, 32)], 1000).alias("__bounds"))
+        .agg(F.percentile_approx(lead, [i / parts for i in range(1, parts)], max(1000, 10 * parts)).alias("__bounds"))
     )
     sliced = (
         df.join(prefixed(bounds, keys), on_keys(keys), "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,85 @@ class Wake:
         return reason
 
 
+@dataclass
+class Session:
+    """The wake of a chat as it runs: the trigger's interval times a jitter, wakes that a mention or reply forces, and one wake at a time.
+
+    A forced row starts a wake at once; within ``cooldown`` seconds of the last forced one it is passed over; while a wake runs (``running`` seconds) the
+    newest forced row waits and starts when it ends. A wake shows the rows since the marker, which moves to the row that started it."""
+
+    wake: Wake
+    jitter: float = 1.0
+    cooldown: int = 10
+    running: int = 30
+    busy_until: int = -1
+    cool_until: int = -1
+    waiting: int | None = None
+    marker: int | None = None
+
+    def _start(self, at: int, row: int, reason: str) -> tuple[int, str, int]:
+        since, self.marker = self.marker, row
+        self.busy_until = at + self.running
+        self.wake.last, self.wake.count = at, 0
+        return row, reason, -1 if since is None else since
+
+    def step(self, at: int, row: int, forced: bool) -> list[tuple[int, str, int]]:
+        """(row, reason, marker before) of the wakes that start by the time of this row."""
+        out = []
+        if self.waiting is not None and at >= self.busy_until:
+            out.append(self._start(self.busy_until, self.waiting, "queued"))
+            self.waiting = None
+        usual = self.wake.interval
+        self.wake.interval = round(usual * self.jitter)
+        last, count = self.wake.last, self.wake.count
+        reason = self.wake.step(at)
+        self.wake.interval = usual
+        if forced:
+            if at < self.cool_until:
+                return out
+            self.cool_until = at + self.cooldown
+            if at < self.busy_until:
+                self.waiting = row
+            else:
+                out.append(self._start(at, row, "forced"))
+        elif reason:
+            if at < self.busy_until:  # the trigger stays armed and fires when the call is over
+                self.wake.last, self.wake.count = last, count + 1
+            else:
+                out.append(self._start(at, row, reason))
+        return out
+
+
+@dataclass
+class Boundaries:
+    """Where digests ended: ``previous`` stays unknown until the second one, so that the chunk before last is what leaves the context."""
+
+    last: int = 0
+    previous: int | None = None
+    done: int = 0
+
+    def step(self, row: int) -> tuple[int, int]:
+        """(rows at or below leave the context, previous boundary or -1) as a digest ends at ``row``."""
+        leave = self.last
+        self.previous = self.last if self.done else None
+        self.last, self.done = row, self.done + 1
+        return leave, -1 if self.previous is None else self.previous
+
+
+@dataclass
+class Breaker:
+    """After ``most`` failures in a row nothing is tried any more; a success starts anew."""
+
+    most: int = 3
+    failed: int = 0
+
+    def step(self, ok: bool) -> str:
+        if self.failed >= self.most:
+            return "dropped"
+        self.failed = 0 if ok else self.failed + 1
+        return "done" if ok else "open" if self.failed >= self.most else "failed"
+
+
 @dataclass
 class Digest:
     """Closes a batch when the tail reaches any size, or when a batch was closed and six hours passed since."""
@@ -96,3 +175,50 @@ def digest_batches(log: DataFrame) -> DataFrame:
         return [(row["id"], n)] if state.step(row["t"], row["c"], row["w"], row["b"]) else []
 
     return fold(rows, Digest, step, "chat_id string, last_id long, messages long")
+
+
+def session_wakes(log: DataFrame, jitter: float = 1.0) -> DataFrame:
+    """(chat_id, id, reason, since): every wake of each chat with the row that started it and the marker before."""
+    forced = F.coalesce("mentions_bot", F.lit(False)) | F.coalesce("is_reply_to_bot", F.lit(False))
+    rows = log.where("direction = 'inbound' and event_type not in ('join', 'leave')").select("chat_id", "id", F.unix_timestamp("timestamp").alias("t"), forced.alias("f"))
+    return fold(rows, lambda: Session(Wake(), jitter), lambda s, r: s.step(r["t"], r["id"], r["f"]), "chat_id string, id long, reason string, since long")
+
+
+def digest_boundaries(batches: DataFrame) -> DataFrame:
+    """(chat_id, last_id, leave_upto, previous): what each digest (chat_id, last_id) removes from the context and the boundary before it."""
+    rows = batches.select("chat_id", F.col("last_id").alias("id"))
+    return fold(rows, Boundaries, lambda s, r: [(r["id"], *s.step(r["id"]))], "chat_id string, last_id long, leave_upto long, previous long")
+
+
+def circuit(outcomes: DataFrame) -> DataFrame:
+    """(chat_id, id, state) of attempts (chat_id, id, ok) in order of id."""
+    return fold(outcomes.select("chat_id", "id", "ok"), Breaker, lambda s, r: [(r["id"], s.step(bool(r["ok"])))], "chat_id string, id long, state string")
+
+
+# Keys of a chat's stored state with the type they are read as and what stands for a missing or unreadable value.
+STATE_KEYS = {
+    "last_digest_boundary_msg_id": ("bigint", 0), "prev_digest_boundary_msg_id": ("bigint", None), "last_digest_at": ("timestamp", None), "muted_flag": ("boolean", False),
+    "consecutive_bot_msgs": ("int", 0), "wake_msgs_since_wake": ("int", 0), "wake_current_interval_ms": ("bigint", 3_600_000), "warmup_backoff_factor": ("int", 0), "warmup_topic_cooldowns": ("string", "{}"),
+}
+
+
+def decode_state(state: DataFrame) -> DataFrame:
+    """One row a chat from its stored map of strings: each key in its type, and its default where it is missing or cannot be read."""
+    def field(key: str, kind: str, default: object) -> Column:
+        raw = F.try_element_at("state", F.lit(key))
+        value = raw.try_cast(kind) if kind != "boolean" else F.when(raw == "1", True).when(raw == "0", False)
+        return F.coalesce(value, F.lit(default).cast(kind)).alias(key)
+
+    return state.select("chat_id", *[field(k, t, d) for k, (t, d) in STATE_KEYS.items()])
+
+
+def encode_state(decoded: DataFrame) -> DataFrame:
+    """The map of strings again; what is unknown is an empty string."""
+    def text(key: str, kind: str) -> Column:
+        c = F.col(key)
+        if kind == "boolean":
+            return F.when(c, "1").otherwise("0")
+        return F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") if kind == "timestamp" else c.cast("string"), F.lit(""))
+
+    pairs = [x for k, (t, _) in STATE_KEYS.items() for x in (F.lit(k), text(k, t))]
+    return decoded.select("chat_id", F.create_map(*pairs).alias("state"))

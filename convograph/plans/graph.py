@@ -228,9 +228,18 @@ def names_in_texts(names, texts, gram=4):
 
 def promotion(spark, folder):
     """Scored pairs both of whose names a message of the chat contains, anywhere in its text."""
+    return _named_together(spark, folder, table(spark, folder, "messages").select("chat_id", "id", "text"))
+
+
+def promotion_facts(spark, folder):
+    """The same for the texts of facts."""
+    return _named_together(spark, folder, table(spark, folder, "memory_edges").select("chat_id", F.col("edge_no").alias("id"), F.col("edge_text").alias("text")))
+
+
+def _named_together(spark, folder, texts):
     c = table(spark, folder, "merge_candidates").where("a_id <> b_id and a_name <> b_name").select("chat_id", fold_ascii("a_name").alias("a"), fold_ascii("b_name").alias("b")).distinct()
     names = c.select("chat_id", F.col("a").alias("n")).union(c.select("chat_id", "b"))
-    m = table(spark, folder, "messages").where("text is not null").select("chat_id", "id", fold_ascii("text").alias("t"))
+    m = texts.where("text is not null").select("chat_id", "id", fold_ascii("text").alias("t"))
     hit = names_in_texts(names, m)
     a, b = hit.select("chat_id", "id", F.col("n").alias("a")), hit.select("chat_id", "id", F.col("n").alias("b"))
     return c.join(a, ["chat_id", "a"]).join(b, ["chat_id", "b", "id"]).groupBy("chat_id", "a", "b").agg(F.count_distinct("id").alias("messages"))
@@ -309,7 +318,7 @@ QUERIES = {
     "q_link_alias": alias_links, "q_alias_dedupe": alias_dedupe, "q_merge_plan": merge_plan,
     "q_alias_audit": lambda s, d: graph.alias_audit(table(s, d, "memory_edges")),
     "q_reconcile_edge_text_diff": edge_text_diff, "q_reconcile_missing": missing_names, "q_embed_ids_union": ids_union, "q_reconcile_orphans": orphans,
-    "q_text_search": text_search, "q_name_validation": name_validation, "q_resolve_mentions": mentions, "q_promotion_pairs": promotion,
+    "q_text_search": text_search, "q_name_validation": name_validation, "q_resolve_mentions": mentions, "q_promotion_pairs": promotion, "q_promotion_facts": promotion_facts,
     "q_recall_collapse": collapse, "q_recall_quota": quota, "q_recall_dedup_injected": not_injected,
     "q_recall_presented": quota, "q_recall_presented_new": not_injected,
     "q_vec_knn": knn, "q_vec_merge_scan": vec_merge, "q_vec_pair_bands": vec_bands, "q_ids_and_hashes": node_ids,
@@ -461,6 +470,9 @@ SQL = {
     "q_promotion_pairs": f"""with c as (select distinct chat_id, {_low('a_name')} as a, {_low('b_name')} as b from merge_candidates where a_id <> b_id and a_name <> b_name and trim(a_name) <> '' and trim(b_name) <> ''),
         t as (select chat_id, id, {_low('text')} as t from messages where text is not null)
         select c.chat_id, a, b, count(distinct t.id) as messages from c join t on t.chat_id = c.chat_id and contains(t, a) and contains(t, b) group by 1, 2, 3""",
+    "q_promotion_facts": f"""with c as (select distinct chat_id, {_low('a_name')} as a, {_low('b_name')} as b from merge_candidates where a_id <> b_id and a_name <> b_name and trim(a_name) <> '' and trim(b_name) <> ''),
+        t as (select chat_id, edge_no as id, {_low('edge_text')} as t from memory_edges where edge_text is not null)
+        select c.chat_id, a, b, count(distinct t.id) as messages from c join t on t.chat_id = c.chat_id and contains(t, a) and contains(t, b) group by 1, 2, 3""",
     "q_recall_collapse": f"with {CAND} select request, source_id, relationship_name, target_id, seq, origin, valid_at from coll",
     "q_recall_presented": f"with {QUOTA} select * from quota",
     "q_recall_presented_new": f"""with {QUOTA} select * from quota q where not exists (select 1 from quota l where l.place = 1 and l.source_id = q.source_id

@@ -86,6 +86,17 @@ def ingest_delay(spark, folder):
     return latency(m, ["chat_id"], "delay")
 
 
+def edge_ids(spark, folder):
+    """Both forms of each fact's id, and whether the JSON one reads back."""
+    from ..functions import ids
+
+    e = table(spark, folder, "memory_edges").select("chat_id", "source_id", "relationship_name", "target_id", "valid_at").distinct()
+    key = [F.col(c) for c in ("source_id", "relationship_name", "target_id", "valid_at")]
+    e = e.withColumn("json_id", ids.json_edge_id(*key)).withColumn("pipe_id", ids.pipe_edge_id(*key))
+    back = ids.decode_edge_id(F.col("json_id"))
+    return e.select("chat_id", "json_id", "pipe_id", F.coalesce((back["source_id"] == F.col("source_id")) & (back["valid_at"] == F.col("valid_at")), F.lit(False)).alias("reads_back"))
+
+
 QUERIES = {
     "q_log_tail_after": tail_after, "q_log_range": id_range, "q_log_latest_n": latest_n, "q_log_count_after": count_after,
     "q_log_sender_newest": sender_newest, "q_log_reply_target": reply_target, "q_log_latest_version": latest_version, "q_log_dedup": dedup,
@@ -99,6 +110,8 @@ QUERIES = {
     "q_terms_budget": lambda s, f: recall.budget_terms(recall.term_pool(_m(s, f))),
     "q_terms_alnum": lambda s, f: recall.term_pool(_m(s, f)).where("kind = 'word'").groupBy("term").agg(F.count(F.lit(1)).alias("n")),
     "q_wake_fires": lambda s, f: triggers.wake_fires(_m(s, f)), "q_digest_batches": lambda s, f: triggers.digest_batches(_m(s, f)),
+    "q_digest_boundaries": lambda s, f: triggers.digest_boundaries(triggers.digest_batches(_m(s, f))), "q_session_wakes": lambda s, f: triggers.session_wakes(_m(s, f)),
+    "q_edge_ids": edge_ids,
 }
 
 _bounds = "b as (select chat_id, min(id) as lower, max(id) as upper from messages where direction = 'outbound' group by chat_id)"
@@ -107,7 +120,27 @@ _esc = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>'
 _att = lambda x: f"replace({_esc(x)}, '\"', '&quot;')"
 _greet = ", ".join(f"'{g}'" for g in GREETINGS)
 
+# sequential rules, row by row
+_c = r"len(regexp_extract_all({0}, '[\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7AF}}]'))".format("coalesce(text, '')")
+_w = r"len(list_filter(regexp_split_to_array({0}, '[\s\p{{Z}}\x{{0B}}\x{{85}}]+'), lambda w: w <> ''))".format("coalesce(text, '')")
+WAKES = f"""r as (select chat_id, id, cast(epoch(timestamp) as bigint) as t, row_number() over (partition by chat_id order by id) as n from messages where direction = 'inbound' and {CONV}),
+  w(chat_id, n, id, last, cnt, reason) as (select chat_id, n, id, t, 1, cast(null as varchar) from r where n = 1 union all
+    select chat_id, n, id, case when f is null then last else t end, case when f is null then cnt else 0 end, f from (
+      select r.chat_id, r.n, r.id, r.t, w.last, w.cnt + 1 as cnt, case when r.t - w.last >= 300 then case when w.cnt + 1 >= 5 then 'count' when r.t - w.last >= 3600 then 'interval' end end as f
+      from r join w on w.chat_id = r.chat_id and r.n = w.n + 1))"""
+DIGESTS = f"""r as (select chat_id, id, cast(epoch(timestamp) as bigint) as t, row_number() over (partition by chat_id order by id) as n, {_c} as c, {_w} as w, octet_length(encode(coalesce(text, ''))) as b from messages where {CONV}),
+  d(chat_id, n, id, last, m, c, w, b, got) as (select distinct chat_id, cast(0 as bigint), cast(null as bigint), cast(null as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint) from r union all
+    select chat_id, n, id, case when f then t else last end, case when f then 0 else m end, case when f then 0 else c end, case when f then 0 else w end, case when f then 0 else b end, case when f then m else 0 end from (
+      select *, m >= 100 or c >= 5000 or w >= 2500 or b >= 20480 or coalesce(t - last >= 21600, false) as f from (
+        select r.chat_id, r.n, r.id, r.t, d.last, d.m + 1 as m, d.c + r.c as c, d.w + r.w as w, d.b + r.b as b from r join d on d.chat_id = r.chat_id and r.n = d.n + 1)))"""
+
 SQL = {
+    "q_wake_fires": f"with recursive {WAKES} select chat_id, id, reason from w where reason is not null",
+    "q_digest_batches": f"with recursive {DIGESTS} select chat_id, id as last_id, got as messages from d where got > 0",
+    "q_digest_boundaries": f"""with recursive {DIGESTS}, x as (select chat_id, id as last_id, lag(id) over (partition by chat_id order by id) as p, row_number() over (partition by chat_id order by id) as k from d where got > 0)
+        select chat_id, last_id, coalesce(p, 0) as leave_upto, case when k = 1 then -1 else p end as previous from x""",
+    "q_edge_ids": """select distinct chat_id, '{"relationship_name":"' || relationship_name || '","source_id":"' || source_id || '","target_id":"' || target_id || '","valid_at":"' || strftime(valid_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z"}' as json_id,
+        source_id || '|' || relationship_name || '|' || target_id || '|' || epoch_us(valid_at) as pipe_id, true as reads_back from memory_edges""",
     "q_log_tail_after": f"with {_bounds} select m.chat_id, id, platform_msg_id, text from messages m left join b using (chat_id) where upper is null or id > upper",
     "q_log_range": f"with {_bounds} select m.chat_id, id, direction from messages m join b using (chat_id) where id > lower and id <= upper",
     "q_log_latest_n": f"""with t as (select * from messages where {CONV} qualify row_number() over (partition by chat_id order by id desc) <= 50)

@@ -42,6 +42,8 @@ QUERIES = {
     "q_metric_ece": lambda s, d: metrics.ece(_scored(s, d)),
     "q_metric_auroc": lambda s, d: metrics.auroc(_scored(s, d)),
     "q_metric_risk_coverage": lambda s, d: metrics.risk_coverage(_scored(s, d).withColumn("confidence", F.col("p")).withColumn("correct", F.col("gold")), [F.col(c) for c in ORDER]),
+    "q_metric_selective": lambda s, d: metrics.selective(QUERIES["q_metric_risk_coverage"](s, d)),
+    "q_metric_ece_top_label": lambda s, d: metrics.top_label_ece(_scored(s, d).select(F.greatest("p", 1 - F.col("p")).alias("confidence"), ((F.col("p") > 0.5) == (F.col("gold") == 1)).alias("correct"))),
     "q_metric_flip_rate": lambda s, d: metrics.flips(_pairs(s, d), ["chat_id", "x", "y"], "same"),
     "q_metric_pairwise_dev": lambda s, d: metrics.pairwise_deviation(_pairs(s, d), ["chat_id", "x", "y"], "p"),
     "q_metric_alignment": alignment,
@@ -67,6 +69,12 @@ SQL = {
     "q_metric_risk_coverage": f"""with {S}, r as (select gold, row_number() over (order by p desc, chat_id, a_id, b_id, gold) as pos, count(*) over () as n from s),
         steps as (select step, greatest(1, cast(round_even((select count(*) from s) * step / 20.0, 0) as bigint)) as rows from range(21) t(step))
         select step, rows, round(sum(gold) filter (pos <= rows) / rows, 9) as accuracy from steps, r group by step, rows""",
+    "q_metric_selective": f"""with {S}, r as (select gold, row_number() over (order by p desc, chat_id, a_id, b_id, gold) as pos, count(*) over () as n from s),
+        steps as (select step, greatest(1, cast(round_even((select count(*) from s) * step / 20.0, 0) as bigint)) as rows from range(21) t(step)),
+        c as (select step, rows, round(sum(gold) filter (pos <= rows) / rows, 9) as a from steps, r group by step, rows), l as (select *, lag(a) over (order by step) as b from c)
+        select round(sum((1 - a + 1 - b) / 2 / 20), 9) as aurc, max(a) filter (step = 10) as acc_50, max(a) filter (step = 16) as acc_80, max(a) filter (step = 20) as acc_100 from l""",
+    "q_metric_ece_top_label": f"""with {S}, c as (select greatest(p, 1 - p) as c, case when (p > 0.5) = (gold = 1) then 1.0 else 0.0 end as ok from s),
+        b as (select least(floor(c * 10), 9) as bin, count(*) as n, avg(c) as c, avg(ok) as a from c group by 1) select round(sum(n * abs(c - a)) / sum(n), 6) as ece_top_label from b""",
     "q_metric_flip_rate": f"""with {G}, f as (select count(distinct same) > 1 as flip from g group by chat_id, x, y having count(*) >= 2)
         select count(*) as groups, round(avg(cast(flip as int)), 9) as flip_rate from f""",
     "q_metric_pairwise_dev": f"""with {G}, n as (select *, row_number() over () as i from g), d as (select avg(abs(a.p - b.p)) as d from n a join n b
