@@ -142,7 +142,7 @@ VERSION = [*SUBJECT, "version_no", "target_id", "valid_from_us", "valid_to_us"]
 
 @dataclass
 class History:
-    """What is kept between snapshots: the facts of the last one in a folder for each branch of the root, its leaf hashes, and the log, tables
+    """What is kept between snapshots: the facts of the last one in ``folders`` folders of neighbouring buckets, its leaf hashes, and the log, tables
     of versions that are only ever added to. Of a subject the rows with the highest ``seq`` count; one row without a version
     number tells that its facts are gone."""
 
@@ -151,6 +151,7 @@ class History:
     log: list[DataFrame]
     fan: int
     depth: int
+    folders: int
 
     def versions(self, cuts: Cuts) -> DataFrame:
         """The history as of the last snapshot."""
@@ -161,26 +162,26 @@ class History:
         return log.join(prefixed(last, SUBJECT), on_keys(SUBJECT) & (F.col("seq") == F.col("__seq"))).where("version_no is not null").select(*VERSION)
 
 
-def advance(state: History | None, snapshot: DataFrame, cuts: Cuts, fan: int = 16, depth: int | None = None) -> History:
+def advance(state: History | None, snapshot: DataFrame, cuts: Cuts, fan: int = 16, depth: int | None = None, folders: int = 16) -> History:
     """The history after one more snapshot (facts as ``resolve_facts`` gives them).
 
-    The snapshot is written once, by branch, and hashed into leaves, which are compared with those of the last one from the root down. Only in
+    The snapshot is written once, by folder, and hashed into leaves, which are compared with those of the last one from the root down. Only in
     leaves that differ are rows of either side read and diffed, and only the subjects found there get new versions, added to the
-    log as a table of their own; nothing written before is read for it or written again. The first snapshot starts the log; the tree's depth
-    follows its number of subjects unless given, and stays."""
+    log as a table of their own; nothing written before is read for it or written again. Folders without a difference are not read at all. The first
+    snapshot starts the log; the tree's depth follows its number of subjects unless given, and stays, as the number of ``folders`` does."""
     if state:
-        fan, depth = state.fan, state.depth
+        fan, depth, folders = state.fan, state.depth, state.folders
     elif depth is None:
         depth = depth_for(snapshot.agg(F.approx_count_distinct(F.xxhash64(*SUBJECT))).first()[0], fan)
-    branch = F.floor(F.col("bucket") / fan ** (depth - 1)).cast("int")
+    branch = F.floor(F.col("bucket") * folders / fan**depth).cast("int")
     now = cuts.cut(snapshot.select(*STATE, bucket_of(fan, depth).alias("bucket")).withColumn("branch", branch), by="branch")
     leaves = cuts.cut(leaf_hashes(now, fan, depth))
     if state is None:
-        return History(now, leaves, [cuts.cut(versions(now).withColumn("seq", F.lit(0)))], fan, depth)
+        return History(now, leaves, [cuts.cut(versions(now).withColumn("seq", F.lit(0)))], fan, depth, folders)
     buckets = cuts.cut(changed_buckets(state.leaves, leaves, fan, depth))
-    branches = [r.branch for r in buckets.select(branch.alias("branch")).distinct().collect()]  # fan at most
+    branches = [r.branch for r in buckets.select(branch.alias("branch")).distinct().collect()]  # folders at most
     if not branches:
-        return History(now, leaves, state.log, fan, depth)
+        return History(now, leaves, state.log, fan, depth, folders)
     within = lambda x: x.where(F.col("branch").isin(branches)).join(F.broadcast(buckets), "bucket", "left_semi")
     side = lambda x, n: within(x).select(*STATE, F.lit(n).alias("__side"))
     # a row of both sides is unchanged; one of either side marks its subject
@@ -192,7 +193,7 @@ def advance(state: History | None, snapshot: DataFrame, cuts: Cuts, fan: int = 1
     gone = subjects.join(within(now), SUBJECT, "left_anti").select(*SUBJECT, *[F.lit(None).cast(anew.schema[c].dataType).alias(c) for c in VERSION[len(SUBJECT):]])
     part = cuts.cut(anew.unionByName(gone).withColumn("seq", F.lit(len(state.log))))
     cuts.drop(buckets, subjects)
-    return History(now, leaves, [*state.log, part], fan, depth)
+    return History(now, leaves, [*state.log, part], fan, depth, folders)
 
 
 def keep_history(edges: DataFrame, kinds: DataFrame, snapshots: int = 3, fan: int = 16, depth: int | None = None) -> DataFrame:
@@ -210,12 +211,14 @@ def keep_history(edges: DataFrame, kinds: DataFrame, snapshots: int = 3, fan: in
                         "created_at", "updated_at", "edge_no")
     grid = [i / snapshots for i in range(1, snapshots)]
     times = (rows.agg(F.percentile_approx(F.unix_micros("updated_at"), grid, 1000)).first()[0] if grid else None) or []
-    depth = depth or depth_for(rows.agg(F.approx_count_distinct(F.xxhash64("chat_id", "source_id"))).first()[0], fan)
+    subjects = rows.agg(F.approx_count_distinct(F.xxhash64("chat_id", "source_id"))).first()[0]
+    depth = depth or depth_for(subjects, fan)
+    folders = min(4096, max(1, subjects // 50_000))  # of many subjects each, as small files cost more than they spare
     state = None
     for upto in [*sorted(set(times)), None]:
         # rows without updated_at are as old as can be: max_by ranks a null lowest as well
         known = rows if upto is None else rows.where(F.unix_micros("updated_at").isNull() | (F.unix_micros("updated_at") <= upto))
-        before, state = state, advance(state, resolve_facts(known, kinds), cuts, fan, depth)
+        before, state = state, advance(state, resolve_facts(known, kinds), cuts, fan, depth, folders)
         if before:
             cuts.drop(before.facts, before.leaves)
     cuts.drop(state.facts, state.leaves)
