@@ -133,6 +133,17 @@ def last_write_wins(rows: DataFrame, kinds: DataFrame) -> DataFrame:
     return e.select(*KEY, (F.row_number().over(w) == 1).alias("still_valid"))
 
 
+def repoint(edges: DataFrame, survivors: DataFrame) -> DataFrame:
+    """Edges folded by natural key once their ends moved to a survivor (chat_id, loser, survivor): self-loops that arise are dropped, and of
+    edges that become equal the earliest created stays with the last end known. This does not tell valid edges from history; ``merge.merge`` does."""
+    to = lambda c: survivors.select("chat_id", F.col("loser").alias(c), F.col("survivor").alias(f"new_{c}"))
+    m = edges.join(to("source_id"), ["chat_id", "source_id"], "left").join(to("target_id"), ["chat_id", "target_id"], "left")
+    moved = F.col("new_source_id").isNotNull() | F.col("new_target_id").isNotNull()
+    m = m.withColumn("moved", moved).withColumn("source_id", F.coalesce("new_source_id", "source_id")).withColumn("target_id", F.coalesce("new_target_id", "target_id"))
+    m = m.where((F.col("source_id") != F.col("target_id")) | ~F.col("moved"))
+    return m.groupBy(*KEY).agg(F.min("created_at").alias("created_at"), F.max("invalid_at").alias("invalid_at"), F.count(F.lit(1)).alias("folded"))
+
+
 def final_survivors(pairs: DataFrame, stats: DataFrame, cuts: Cuts) -> DataFrame:
     """(chat_id, loser, survivor): every node of a connected group of matched pairs (chat_id, x, y) but the one that stays, which is the
     best of the group by ``stats`` (chat_id, id, degree, created_us): higher degree, earlier created, smaller id.
