@@ -32,8 +32,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_block: int = 2048
         s = (a @ b.T) / np.maximum(np.outer(na, nb), 1e-300)
         s[na == 0], s[:, nb == 0] = -np.inf, -np.inf
         ids, vec, out = left["query_id"].to_numpy(), right["vec_id"].to_numpy(), []
-        for i, row in enumerate(s):
-            out += [(ids[i], vec[j], row[j]) for j in np.lexsort((vec, -np.round(row, 9)))[:k] if np.isfinite(row[j])]
+        for i, row in enumerate(np.round(s, 9)):
+            # only what reaches the k-th value is put in order, with all that equal it
+            near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if k < len(row) else np.arange(len(row))
+            out += [(ids[i], vec[j], s[i, j]) for j in near[np.lexsort((vec[near], -row[near]))][:k] if np.isfinite(row[j])]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "similarity"]).astype({"query_id": "int64", "vec_id": "int64", "similarity": "float64"})
 
     best = q.groupBy("block", "slice").cogroup(r.groupBy("block", "slice")).applyInPandas(run, FOUND)
