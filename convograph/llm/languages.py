@@ -116,7 +116,6 @@ class Model:
         chars = sorted(set().union(*(a.symbols for a in self.automata), " \n"))
         self.symbols = {c: i + 1 for i, c in enumerate(chars)}
         self.local = [np.array([0, *(a.symbols.get(c, 0) for c in chars)], np.int32) for a in self.automata]
-        self.core = [np.array([False, *(c in a.core for c in chars)]) for a in self.automata]
         self.number = np.zeros(0x10000, np.int32)
         for c, i in self.symbols.items():
             if ord(c) < 0x10000:
@@ -126,12 +125,12 @@ class Model:
         # matches in a longer text are longer: a phrase costs the logarithm of the size of the text it is found in
         self.weight = np.array([np.log(a.size) for a in self.automata]) / np.log(max(a.size for a in self.automata))
 
-    def costs(self, codes: np.ndarray, starts: np.ndarray, lane: int = 192, quoted: float = 0.4) -> np.ndarray:
+    def costs(self, codes: np.ndarray, starts: np.ndarray, lane: int = 2048, quoted: float = 0.4) -> np.ndarray:
         """For each language and symbol of the joined texts, the share of a phrase it takes: a phrase is the longest match
         from where the last ended, and its normalised cost is shared among its symbols.
 
-        All texts are parsed side by side in lanes of at most ``lane`` symbols, one symbol of every lane at
-        a time, so a very long text takes no more steps than others."""
+        All texts are parsed side by side in every language, in lanes of at most ``lane`` symbols, one symbol of every lane at
+        a time, so a very long text takes no more steps than others; the end of a lane ends a phrase."""
         lengths = np.diff(np.append(starts, len(codes)))
         pieces = np.maximum(1, -(-lengths // lane))
         first = np.repeat(starts, pieces) + lane * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
@@ -140,14 +139,11 @@ class Model:
         first_, size_ = first, size
         out = np.empty((len(self.languages), len(codes)), np.float32)
         for k, a in enumerate(self.automata):
-            # a language none of whose common letters stand in a lane would need a phrase for each of them
-            hits = np.add.reduceat(self.core[k][codes].astype(np.int32), first_)
-            use = order[(hits * 10 > size_)[order]]
-            begin, long_ = first_[use], size_[use]
+            begin, long_ = first_[order], size_[order]
             mine = self.local[k][codes]
             head = np.ones(len(codes), bool)
-            state = np.zeros(len(use), np.int32)
-            steps = int(long_[0]) if len(use) else 0
+            state = np.zeros(len(order), np.int32)
+            steps = int(long_[0]) if len(order) else 0
             active = np.searchsorted(-long_, -np.arange(steps), side="left")  # lanes longer than t
             for t in range(steps):
                 n = active[t]
@@ -163,11 +159,7 @@ class Model:
             run = np.diff(np.append(heads, len(codes)))
             out[k] = np.repeat((self.weight[k] / run).astype(np.float32), run)
             if not self.latin[k]:  # texts of other scripts quote Latin names and terms
-                parsed = np.zeros(len(codes) + 1, np.int32)
-                np.add.at(parsed, begin, 1)
-                np.add.at(parsed, begin + long_, -1)
-                quotes = self.latin_symbol[codes] & (np.cumsum(parsed)[:-1] > 0)
-                out[k] = np.where(quotes, np.minimum(out[k], quoted), out[k])
+                out[k] = np.where(self.latin_symbol[codes], np.minimum(out[k], quoted), out[k])
         return out
 
     def segments(self, texts: list[str], inside: float = 4.5, at_end: float = 2.0, least: int = 12) -> tuple[list[list[tuple[str, float]]], np.ndarray]:
