@@ -18,14 +18,17 @@ class Wake:
     interval: int = 3600
     most: int = 5
 
+    def reason(self, at: int, jitter: float = 1.0) -> str | None:
+        passed = at - self.last
+        if passed < self.floor:
+            return None
+        return "count" if self.count >= self.most else "interval" if passed >= round(self.interval * jitter) else None
+
     def step(self, at: int) -> str | None:
         if self.last is None:
             self.last = at
         self.count += 1
-        passed = at - self.last
-        reason = None
-        if passed >= self.floor:
-            reason = "count" if self.count >= self.most else "interval" if passed >= self.interval else None
+        reason = self.reason(at)
         if reason:
             self.last, self.count = at, 0
         return reason
@@ -59,24 +62,19 @@ class Session:
         if self.waiting is not None and at >= self.busy_until:
             out.append(self._start(self.busy_until, self.waiting, "queued"))
             self.waiting = None
-        usual = self.wake.interval
-        self.wake.interval = round(usual * self.jitter)
-        last, count = self.wake.last, self.wake.count
-        reason = self.wake.step(at)
-        self.wake.interval = usual
-        if forced:
-            if at < self.cool_until:
-                return out
+        if self.wake.last is None:
+            self.wake.last = at
+        self.wake.count += 1
+        if not forced:
+            reason = self.wake.reason(at, self.jitter)
+            if reason and at >= self.busy_until:  # while a call runs the trigger stays armed
+                out.append(self._start(at, row, reason))
+        elif at >= self.cool_until:
             self.cool_until = at + self.cooldown
             if at < self.busy_until:
                 self.waiting = row
             else:
                 out.append(self._start(at, row, "forced"))
-        elif reason:
-            if at < self.busy_until:  # the trigger stays armed and fires when the call is over
-                self.wake.last, self.wake.count = last, count + 1
-            else:
-                out.append(self._start(at, row, reason))
         return out
 
 

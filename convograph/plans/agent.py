@@ -262,7 +262,13 @@ TOPW = f"""{NODES}, {EDGES}, {VALID}, {ENDS.format('valid')}, d as (select chat_
 MONO = """rows_ as (select chat_id, id, direction, sum(case when direction = 'inbound' then 1 else 0 end) over (partition by chat_id order by id) as humans from messages where event_type not in ('join', 'leave')),
   runs as (select chat_id, humans, count(*) as run from rows_ where direction = 'outbound' group by 1, 2), locks as (select chat_id, cast(least(count(*) filter (run >= 2), 4) as int) as factor from runs group by 1)"""
 
+# the 64-bit FNV-1a hash, byte by byte
+_bytes = "list_transform(range(1, length(h), 2), lambda i: cast('0x' || substr(h, i, 2) as hugeint))"
+_fnv = f"list_reduce([cast(14695981039346656037 as hugeint)] || {_bytes}, lambda a, b: (xor(a, b) * cast(1099511628211 as hugeint)) % cast(18446744073709551616 as hugeint))"
+
 SQL = {
+    "q_harvest": f"""with {NODES}, b as (select chat_id, id, lower(hex(encode(name || chr(10) || coalesce(properties ->> '$.description', '')))) as h from nodes), f as (select chat_id, id, {_fnv} as x from b)
+        select distinct chat_id, id as node_id, printf('%08x%08x', cast(x // 4294967296 as bigint), cast(x % 4294967296 as bigint)) as hash from f""",
     "q_resolve_alias": f"""with {NODES}, {EDGES}, {VALID}, al as (select distinct v.chat_id, {_fold('n.name')} as n, source_id as t from valid v join nodes n on n.chat_id = v.chat_id and n.id = target_id where relationship_name = 'knows'),
         one as (select chat_id, n, count(*) as targets, min(t) as t from al group by 1, 2),
         x as (select distinct * from (select chat_id, a_name as name, node_kind as kind from merge_candidates union all select chat_id, b_name, node_kind from merge_candidates) where chat_id is not null and name is not null and kind is not null)

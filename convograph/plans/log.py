@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import GREETINGS
+from ..functions.text import STOPWORDS, GREETINGS
 from ..operators import context, log, recall, triggers
 from ..sources import table
 
@@ -134,7 +134,30 @@ DIGESTS = f"""r as (select chat_id, id, cast(epoch(timestamp) as bigint) as t, r
       select *, m >= 100 or c >= 5000 or w >= 2500 or b >= 20480 or coalesce(t - last >= 21600, false) as f from (
         select r.chat_id, r.n, r.id, r.t, d.last, d.m + 1 as m, d.c + r.c as c, d.w + r.w as w, d.b + r.b as b from r join d on d.chat_id = r.chat_id and r.n = d.n + 1)))"""
 
+CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+_stop = ", ".join(f"'{w}'" for w in STOPWORDS)
+TERMS = rf"""wd as (select chat_id, id, list_filter(regexp_split_to_array(lower(text), '([{CJK}]|[^\p{{L}}\p{{N}}])+'), lambda w: length(w) >= 2 and w not in ({_stop})) as ws,
+    list_filter(regexp_split_to_array(lower(text), '[^{CJK}]+'), lambda r: length(r) >= 2) as rs from messages where text is not null),
+  words as (select chat_id, id, unnest(ws) as term, unnest(range(1, len(ws) + 1)) as position from wd)"""
+
+SESSIONS = f"""r as (select chat_id, id, cast(epoch(timestamp) as bigint) as t, coalesce(mentions_bot, false) or coalesce(is_reply_to_bot, false) as f, row_number() over (partition by chat_id order by id) as n from messages where direction = 'inbound' and {CONV}),
+  s(chat_id, n, last, cnt, busy, cool, wait, mark, ev) as (
+    select distinct chat_id, cast(0 as bigint), cast(null as bigint), 0, cast(-1 as bigint), cast(-1 as bigint), cast(null as bigint), cast(null as bigint), cast([] as struct(id bigint, reason varchar, since bigint)[]) from r union all
+    select chat_id, n, case when st then t else last end, case when st then 0 else cnt end, case when st then t + 30 else busy end, case when f and t >= cool then t + 10 else cool end,
+      case when f and t >= cool and t < busy then id else wait end, case when st then id else mark end, ev || case when st then [struct_pack(id := id, reason := coalesce(rs, 'forced'), since := coalesce(mark, -1))] else [] end
+    from (select *, case when f then t >= cool and t >= busy else rs is not null and t >= busy end as st from (select *, case when not f and t - last >= 300 then case when cnt >= 5 then 'count' when t - last >= 3600 then 'interval' end end as rs from (
+      select r.chat_id, r.n, r.id, r.t, r.f, s.cool, coalesce(case when q then s.busy else s.last end, r.t) as last, case when q then 0 else s.cnt end + 1 as cnt, case when q then s.busy + 30 else s.busy end as busy,
+        case when q then null else s.wait end as wait, case when q then s.wait else s.mark end as mark, case when q then [struct_pack(id := s.wait, reason := 'queued', since := coalesce(s.mark, -1))] else [] end as ev
+      from r join (select *, n + 1 as nx from s) s on s.chat_id = r.chat_id and r.n = s.nx, lateral (select s.wait is not null and r.t >= s.busy as q) l))))"""
+
 SQL = {
+    "q_session_wakes": f"with recursive {SESSIONS}, e as (select chat_id, unnest(ev) as x from s) select chat_id, x.id as id, x.reason as reason, x.since as since from e",
+    "q_terms_alnum": f"with {TERMS} select term, count(*) as n from words group by 1",
+    "q_terms_budget": f"""with {TERMS}, runs as (select chat_id, id, unnest(rs) as r, unnest(range(1, len(rs) + 1)) as k from wd), starts as (select *, unnest(range(1, length(r))) as s from runs), sizes as (select *, unnest([2, 3, 4, 5]) as z from starts),
+        grams as (select chat_id, id, substr(r, s, z) as term, k * 1000000000 + s * 10 + z as position from sizes where s + z - 1 <= length(r)),
+        every as (select 'word' as kind, * from words union all select 'gram', * from grams), once as (select chat_id, id, kind, term, min(position) as position from every group by 1, 2, 3, 4),
+        rk as (select chat_id, id, kind, term, row_number() over (partition by chat_id, id, kind order by case when kind = 'gram' then -length(term) else 0 end, position) as rank from once)
+        select * from rk where rank <= case when kind = 'gram' then 40 else 20 end""",
     "q_wake_fires": f"with recursive {WAKES} select chat_id, id, reason from w where reason is not null",
     "q_digest_batches": f"with recursive {DIGESTS} select chat_id, id as last_id, got as messages from d where got > 0",
     "q_digest_boundaries": f"""with recursive {DIGESTS}, x as (select chat_id, id as last_id, lag(id) over (partition by chat_id order by id) as p, row_number() over (partition by chat_id order by id) as k from d where got > 0)
