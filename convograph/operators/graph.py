@@ -1,7 +1,7 @@
 """Reads and writes over the bitemporal fact graph."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,22 +144,52 @@ def repoint(edges: DataFrame, survivors: DataFrame) -> DataFrame:
     return m.groupBy(*KEY).agg(F.min("created_at").alias("created_at"), F.max("invalid_at").alias("invalid_at"), F.count(F.lit(1)).alias("folded"))
 
 
-def final_survivors(pairs: DataFrame, stats: DataFrame, cuts: Cuts) -> DataFrame:
+RANK = "struct<d:bigint,t:bigint,id:string>"
+
+
+def _best_of_groups(links: DataFrame) -> DataFrame:
+    """(chat_id, u, up): each node of links between ranks with the best of its connected group, by one task; for a bounded number of links."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        up: dict[tuple, tuple] = {}
+
+        def root(x: tuple) -> tuple:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for chat, u, v in zip(*(batch.column(c).to_pylist() for c in ("chat_id", "u", "v")), strict=True):
+                x, y = root((chat, u["d"], u["t"], u["id"])), root((chat, v["d"], v["t"], v["id"]))
+                up[max(x, y)] = min(x, y)
+        kind = pa.struct([("d", pa.int64()), ("t", pa.int64()), ("id", pa.string())])
+        rank = lambda xs: pa.array([dict(zip(("d", "t", "id"), x[1:], strict=True)) for x in xs], kind)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in nodes], pa.string()), rank(nodes), rank([root(x) for x in nodes])], names=["chat_id", "u", "up"])
+
+    return links.where("u < v").select("chat_id", "u", "v").coalesce(1).mapInArrow(run, f"chat_id string, u {RANK}, up {RANK}")
+
+
+def final_survivors(pairs: DataFrame, stats: DataFrame, cuts: Cuts, last_links: int = 200_000) -> DataFrame:
     """(chat_id, loser, survivor): every node of a connected group of matched pairs (chat_id, x, y) but the one that stays, which is the
     best of the group by ``stats`` (chat_id, id, degree, created_us): higher degree, earlier created, smaller id.
 
     Each node hooks to its best neighbour where that is better, pointers are doubled up to the roots, and links between roots stay for
-    the next round. A root that nothing hooked to has a better neighbour in the next round, so every two rounds halve what is left."""
-    rank = F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), F.coalesce("created_us", F.lit(2**62)).alias("t"), F.col("id"))
+    the next round. A root that nothing hooked to has a better neighbour in the next round, so every two rounds halve what is left. Once at
+    most ``last_links`` links are left, one task joins them, which gives the same nodes."""
+    rank = F.struct((-F.coalesce("degree", F.lit(0))).cast("long").alias("d"), F.coalesce("created_us", F.lit(2**62)).cast("long").alias("t"), F.col("id"))
     ids = pairs.select("chat_id", F.col("x").alias("id")).union(pairs.select("chat_id", "y")).distinct()
     node = cuts.cut(ids.join(stats, ["chat_id", "id"], "left").select("chat_id", "id", rank.alias("r")))
     side = lambda c, r: node.select("chat_id", F.col("id").alias(c), F.col("r").alias(r))
     p = pairs.join(side("x", "u"), ["chat_id", "x"]).join(side("y", "v"), ["chat_id", "y"]).where("u <> v")
     links = cuts.cut(p.select("chat_id", "u", "v").union(p.select("chat_id", "v", "u")).distinct())
     owner = cuts.cut(node.select("chat_id", F.col("r").alias("node"), F.col("r").alias("at")))
-    while links.take(1):
-        up = cuts.cut(links.groupBy("chat_id", "u").agg(F.min("v").alias("up")).where("up < u"))
-        while True:
+    while n := links.count() // 2:
+        small = n <= last_links
+        up = cuts.cut(_best_of_groups(links) if small else links.groupBy("chat_id", "u").agg(F.min("v").alias("up")).where("up < u"))
+        while not small:
             far = up.select("chat_id", F.col("u").alias("up"), F.col("up").alias("next"))
             step = cuts.cut(up.join(far, ["chat_id", "up"], "left").select("chat_id", "u", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
             cuts.drop(up)
@@ -172,6 +202,7 @@ def final_survivors(pairs: DataFrame, stats: DataFrame, cuts: Cuts) -> DataFrame
         after = cuts.cut(between.select("chat_id", F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).where("u <> v").distinct())
         cuts.drop(owner, links, up)
         owner, links = moved, after
+    cuts.keep(owner)
     return owner.where("node <> at").select("chat_id", F.col("node.id").alias("loser"), F.col("at.id").alias("survivor"))
 
 

@@ -55,3 +55,11 @@ def test_no_merged_node_is_left(spark, small):
     for df, ends in ((plans.final(spark, small), ["survivor"]), (plans.merged_edges(spark, small), ["source_id", "target_id"]), (plans.merged_pairs(spark, small), ["x", "y"])):
         for c in ends:
             assert df.join(gone.withColumnRenamed("id", c), ["chat_id", c], "left_semi").count() == 0
+
+
+def test_rounds_and_one_task_end_alike(spark):
+    pairs = [(f"n{i:02}", f"n{i + 1:02}") for i in range(25)] + [("hub", f"z{i}") for i in range(9)] + [("z3", "n07"), ("p", "q")]
+    p = spark.createDataFrame([("c", *x) for x in pairs] + [("d", "p", "n01")], "chat_id string, x string, y string")
+    s = spark.createDataFrame([("c", f"n{i:02}", i * 7 % 5, i) for i in range(26)], "chat_id string, id string, degree long, created_us long")
+    a, b = ({tuple(r) for r in graph.final_survivors(p, s, Cuts(spark, "t"), n).collect()} for n in (0, 1000))
+    assert a == b and len(a) == 25 + 10 + 1 + 1
